@@ -2,11 +2,13 @@
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .mixing import op5_mix_sources
+from .packing import op8_best_fit_packing
 from .sharding import op9_shards
 
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mix_sources": op5_mix_sources,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_shards": op9_shards,
 }
 ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}
