@@ -4,10 +4,12 @@ from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .mixing import op5_mix_sources
 from .packing import op8_best_fit_packing
 from .sharding import op9_shards
+from .simhash import op7_simhash_near_dedup
 
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mix_sources": op5_mix_sources,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_shards": op9_shards,
 }
