@@ -5,12 +5,14 @@ from .mixing import op5_mix_sources
 from .packing import op8_best_fit_packing
 from .sharding import op9_shards
 from .simhash import op7_simhash_near_dedup
+from .warc import OP1_SQL, op1_warc_archives
 
 QUERIES = {
+    "op1_warc_archives": op1_warc_archives,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_shards": op9_shards,
 }
-ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}
+ORACLE_SQL = {"op1_warc_archives": OP1_SQL, "op4_exact_dedup": OP4_SQL}
