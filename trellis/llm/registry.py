@@ -5,6 +5,7 @@ from .mixing import op5_mix_sources
 from .packing import op8_best_fit_packing
 from .sharding import op9_shards
 from .simhash import op7_simhash_near_dedup
+from .toxicity import op10_toxicity
 from .warc import OP1_SQL, op1_warc_archives
 
 QUERIES = {
@@ -14,5 +15,6 @@ QUERIES = {
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_shards": op9_shards,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL = {"op1_warc_archives": OP1_SQL, "op4_exact_dedup": OP4_SQL}
