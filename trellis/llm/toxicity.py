@@ -2,8 +2,7 @@
 
 Labels are on documents, so token labels come first: over a bounded sample of labelled documents, words and word beginnings
 that mark the toxic ones (a likelihood-ratio test on document counts, near copies counted once) tag the tokens of toxic
-documents; tokens of clean ones are clean. The field is fitted to these tags, tags the toxic documents anew, and is
-fitted again. A token's features are its word and its first 3 to 8 letters, hashed; transitions are free.
+documents; tokens of clean ones are clean. The field is fitted to these tags. A token's features are its word and its first 3 to 8 letters, hashed; transitions are free.
 
 Scoring reads whole texts. Forward-backward gives each token's marginal; the largest, their sum and the number of likely ones
 give the document's score by a logistic model. Tokens with marginals of at least 1/2 are the offending offsets.
@@ -20,8 +19,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +30,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 TOXIC, CLEAN = 1000, 2000
-DIMS = 1 << 18
+#: Weights smaller than this are dropped from the fitted model.
+TINY = 0.02
 AT_LEAST = 0.3
-#: Likelihood ratio from which a word or beginning marks toxic documents.
-MARK = 14.0
 #: Tokens of a training sequence.
 STEPS = 256
 CACHE = 400_000
@@ -44,12 +42,12 @@ BEGINNINGS = (3, 4, 5, 6, 7, 8)
 def features(token: str) -> list[int]:
     """Hashed features of a token as it stands in a text: its word (letters and digits, lower case), and the word's first letters."""
     w = "".join(filter(str.isalnum, token)).lower()
-    return [zlib.crc32(f"{k} {w[:k]}".encode()) % DIMS for k in BEGINNINGS if len(w) >= k] + [zlib.crc32(f"w {w}".encode()) % DIMS]
+    return [zlib.crc32(f"{k} {w[:k]}".encode()) for k in BEGINNINGS if len(w) >= k] + [zlib.crc32(f"w {w}".encode())]
 
 
 @dataclass
 class Model:
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(DIMS, np.float64))
+    weights: dict[int, float] = field(default_factory=dict)
     bias: float = -6.0
     #: Log potentials of going from tag i to tag j.
     moves: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
@@ -57,7 +55,7 @@ class Model:
     score: np.ndarray = field(default_factory=lambda: np.array([0.0, 0.0, 0.0, -30.0]))
 
     def emission(self, token: str) -> float:
-        return float(self.weights[features(token)].sum() + self.bias)
+        return sum(map(self.weights.get, features(token), repeat(0.0)), self.bias)
 
 
 def _step(x: np.ndarray, m00: float, m01: float, m10: float, m11: float) -> np.ndarray:
@@ -104,17 +102,17 @@ class Vocabulary:
         self.of: dict[str, int] = {}
         self.docs = [np.fromiter((self.of.setdefault(w, len(self.of)) for w in t), np.int64, len(t)) for t in texts]
         each = [features(w) for w in self.of]
-        self.flat = np.fromiter((f for x in each for f in x), np.int64)
+        self.known, self.flat = np.unique(np.fromiter((f for x in each for f in x), np.int64), return_inverse=True)
         self.word = np.repeat(np.arange(len(each)), [len(x) for x in each])
 
-    def emissions(self, model: Model) -> np.ndarray:
-        return np.bincount(self.word, model.weights[self.flat], len(self.of)) + model.bias
+    def emissions(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        return np.bincount(self.word, weights[self.flat], len(self.of)) + bias
 
     def spread(self, by_word: np.ndarray) -> np.ndarray:
-        return np.bincount(self.flat, by_word[self.word], DIMS)
+        return np.bincount(self.flat, by_word[self.word], len(self.known))
 
 
-def apart(texts: list[list[str]], hashes: int = 4) -> list[int]:
+def apart(texts: list[list[str]], hashes: int = 16) -> list[int]:
     """The texts that share none of their least shingle hashes with an earlier one: near copies count once."""
     seen: set[tuple[int, int]] = set()
     keep = []
@@ -129,7 +127,7 @@ def apart(texts: list[list[str]], hashes: int = 4) -> list[int]:
 
 def marks(vocabulary: Vocabulary, toxic: np.ndarray) -> np.ndarray:
     """Whether each token of the vocabulary has a feature that marks toxic documents."""
-    df = np.zeros((2, DIMS))
+    df = np.zeros((2, len(vocabulary.known)))
     inverse = [[] for _ in range(len(vocabulary.of))]
     for f, w in zip(vocabulary.flat.tolist(), vocabulary.word.tolist()):
         inverse[w].append(f)
@@ -142,12 +140,13 @@ def marks(vocabulary: Vocabulary, toxic: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = 2 * (np.where(a > 0, a * np.log(a / np.maximum(n1 * share, 1e-9)), 0) + np.where(b > 0, b * np.log(b / np.maximum(n0 * share, 1e-9)), 0))
         precise = (a / max(1, n1)) >= 8 * (b / max(1, n0))
-    good = (ratio >= MARK) & precise & (a >= 3)
+    usual = a + b >= 3
+    good = (ratio >= 2 * math.log(max(2, usual.sum()))) & precise & usual  # among that many features, one by chance
     return np.bincount(vocabulary.word, good[vocabulary.flat], len(vocabulary.of)) > 0
 
 
-def fit_field(model: Model, vocabulary: Vocabulary, tags: list[np.ndarray], rounds: int = 40, rate: float = 0.5, decay: float = 2e-6) -> None:
-    """Gradient ascent (Adagrad) on the log-likelihood of the tags, over sequences of at most STEPS tokens."""
+def fit_field(model: Model, vocabulary: Vocabulary, tags: list[np.ndarray], rounds: int = 40, rate: float = 0.5, decay: float = 2e-6) -> np.ndarray:
+    """Gradient ascent (Adagrad) on the log-likelihood of the tags, over sequences of at most STEPS tokens. Returns each known feature's weight."""
     words = np.concatenate(vocabulary.docs)
     y = np.concatenate(tags).astype(np.float64)
     lengths = np.array([min(STEPS, len(d) - k) for d in vocabulary.docs for k in range(0, len(d), STEPS)], np.int64)
@@ -156,13 +155,14 @@ def fit_field(model: Model, vocabulary: Vocabulary, tags: list[np.ndarray], roun
     inner = np.flatnonzero(~first)
     seen = np.array([[np.sum((y[inner - 1] == i) & (y[inner] == j)) for j in (0, 1)] for i in (0, 1)], float)
     scale = 1.0 / max(1.0, y.sum())
-    g_w, g_b, g_m = np.full(DIMS, 1e-8), 1e-8, np.full((2, 2), 1e-8)
+    weights = np.zeros(len(vocabulary.known))
+    g_w, g_b, g_m = np.full(len(weights), 1e-8), 1e-8, np.full((2, 2), 1e-8)
     for _ in range(rounds):
-        by_word = vocabulary.emissions(model)
+        by_word = vocabulary.emissions(weights, model.bias)
         e = by_word[words]
         fwd, bwd = chains(e, lengths, model.moves)
         d = (y - sigmoid(fwd + bwd)) * scale
-        grad_w = vocabulary.spread(np.bincount(words, d, len(by_word))) - decay * model.weights
+        grad_w = vocabulary.spread(np.bincount(words, d, len(by_word))) - decay * weights
         grad_b = d.sum()
         a, b = fwd[inner - 1], e[inner] + bwd[inner]
         cell = np.stack([[model.moves[i][j] + (a if i else 0) + (b if j else 0) + 0 * a for j in (0, 1)] for i in (0, 1)])
@@ -171,10 +171,13 @@ def fit_field(model: Model, vocabulary: Vocabulary, tags: list[np.ndarray], roun
         g_w += grad_w**2
         g_b += grad_b**2
         g_m += grad_m**2
-        model.weights += rate * grad_w / np.sqrt(g_w)
+        weights += rate * grad_w / np.sqrt(g_w)
         model.bias += rate * grad_b / math.sqrt(g_b)
         model.moves = model.moves + rate * grad_m / np.sqrt(g_m)
         model.bias = min(model.bias, -3.0)
+    weights[np.abs(weights) < TINY] = 0.0
+    model.weights = {int(f): float(w) for f, w in zip(vocabulary.known, weights) if w}
+    return weights
 
 
 def fit_score(model: Model, x: np.ndarray, y: np.ndarray, share: float, rounds: int = 30, decay: float = 1.0) -> None:
@@ -205,15 +208,13 @@ def train(texts: list[str], toxic: list[int], share: float) -> Model:
     vocabulary = Vocabulary(tokens)
     known = marks(vocabulary, y)
     tags = [known[d] & bool(t) for d, t in zip(vocabulary.docs, y)]
-    fit_field(model, vocabulary, tags)
+    weights = fit_field(model, vocabulary, tags)
     lengths = np.array([len(d) for d in vocabulary.docs])
 
     def logits():
-        got = chains(vocabulary.emissions(model)[np.concatenate(vocabulary.docs)], lengths, model.moves)
+        got = chains(vocabulary.emissions(weights, model.bias)[np.concatenate(vocabulary.docs)], lengths, model.moves)
         return np.split(got[0] + got[1], np.cumsum(lengths)[:-1])
 
-    tags = [((z >= 0) | g) & bool(t) for z, g, t in zip(logits(), tags, y)]
-    fit_field(model, vocabulary, tags, rounds=20)
     fit_score(model, np.array([evidence(z) for z in logits()]), y, min(0.999, max(0.001, share)))
     return model
 
