@@ -5,11 +5,13 @@ from .mixing import op5_mix_sources
 from .packing import op8_best_fit_packing
 from .sharding import op9_shards
 from .simhash import op7_simhash_near_dedup
+from .substrings import op2_substring_dedup
 from .toxicity import op10_toxicity
 from .warc import OP1_SQL, op1_warc_archives
 
 QUERIES = {
     "op1_warc_archives": op1_warc_archives,
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
