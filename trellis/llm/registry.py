@@ -1,5 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
+from .embeddings import op6_embedding_near_dedup
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .mixing import op5_mix_sources
 from .packing import op8_best_fit_packing
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mix_sources": op5_mix_sources,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_shards": op9_shards,
