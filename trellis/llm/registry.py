@@ -2,6 +2,7 @@
 
 from .embeddings import op6_embedding_near_dedup
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .lines import OP3_SQL, op3_line_dedup
 from .mixing import op5_mix_sources
 from .packing import op8_best_fit_packing
 from .sharding import op9_shards
@@ -13,6 +14,7 @@ from .warc import OP1_SQL, op1_warc_archives
 QUERIES = {
     "op1_warc_archives": op1_warc_archives,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
@@ -21,4 +23,4 @@ QUERIES = {
     "op9_shards": op9_shards,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL = {"op1_warc_archives": OP1_SQL, "op4_exact_dedup": OP4_SQL}
+ORACLE_SQL = {"op1_warc_archives": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL}
