@@ -83,6 +83,15 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORD
     return d.withColumn("_kept", kept).withColumn("_n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).cast("long"))
 
 
+def cleaned(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs with their texts cut, columns as they were; n_chars, if there is one, follows. A document of which no word is left goes."""
+    d = dedup(docs, min_lines, min_words)
+    d = d.where(F.col("_removed").isNull() | F.col("_kept").rlike(WORD)).withColumn("text", F.col("_kept"))
+    if "n_chars" in docs.columns:
+        d = d.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+    return d.select(*(f"`{c}`" for c in docs.columns))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (of the kept lines, joined by line breaks)."""
     d = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))

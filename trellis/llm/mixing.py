@@ -56,7 +56,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     """doc_id, size, source_size, target, taken, laps (array of words taken and position, one for each time round), in order of first position."""
     if most != int(most) or most < 1:
         raise ValueError("most is a whole number of laps")
-    sized = docs.select("doc_id", F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_src"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
+    sized = docs.select("doc_id", F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_src"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("_key"))
     sized = staged(sized.withColumn("_u", unit_hash("doc_id", "size", seed=seed)), "sizes")
     placed = running_total(sized, ["_null", "_src"], "_u", ["doc_id", "size"], "size", "_at", buckets)
     placed = placed.join(targets(sized, weights, budget, most), ["_null", "_src"])
@@ -70,7 +70,24 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     laps = F.filter(F.array(*(lap(i) for i in range(int(most)))), lambda x: x.words > 0)
     placed = placed.withColumn("laps", laps).withColumn("position", F.when(F.size("laps") > 0, F.col("laps")[0].position))
     taken = F.aggregate("laps", F.lit(0).cast("long"), lambda a, x: a + x.words)
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "laps", "position").orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "laps", "position", "_key").orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def mixed(docs: DataFrame, **settings) -> DataFrame:
+    """The documents that the mix takes, as often as it takes them, in order of training position; columns as in docs.
+
+    Where a source's demand ends within a document, the copy has the words up to there, joined by spaces. Rows repeated as
+    a whole are one row that is taken for all of them.
+    """
+    chosen = mix(docs, **settings).where(F.size("laps") > 0).groupBy("doc_id", "_key").agg(F.flatten(F.collect_list("laps")).alias("_laps"), F.first("size").alias("_size"))
+    chosen = chosen.withColumnsRenamed({"doc_id": "_doc", "_key": "_chosen"})
+    d = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    d = d.join(chosen, (d._key == chosen._chosen) & d.doc_id.eqNullSafe(chosen._doc))
+    d = d.withColumn("_n", F.row_number().over(Window.partitionBy("_key", "_doc").orderBy("_size"))).where("_n = 1")
+    d = d.withColumn("_lap", F.explode("_laps"))
+    text = F.when(F.col("_lap.words") >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), F.col("_lap.words").cast("int")), " "))
+    d = d.withColumn("text", text).orderBy("_lap.position", "_key")
+    return d.select(*(f"`{c}`" for c in docs.columns))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

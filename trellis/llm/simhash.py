@@ -106,6 +106,14 @@ def groups(prints: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFra
     return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def cleaned(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One document of each group, that with the smallest doc_id; of rows repeated as a whole, one."""
+    stay = groups(fingerprints(docs), radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
+    d = docs.join(stay, docs.doc_id.eqNullSafe(stay._stays))
+    d = d.withColumn("_n", F.row_number().over(Window.partitionBy("_stays", F.xxhash64("text")).orderBy(F.lit(1)))).where("_n = 1")
+    return d.select(*(f"`{c}`" for c in docs.columns))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = groups(fingerprints(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
@@ -237,33 +238,63 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
     return train([r["text"] for r in rows], [r["_y"] for r in rows], counts.get(1, 0) / max(1, sum(counts.values())))
 
 
-SCORES = "doc_id long, score double, spans array<struct<begin:int,end:int>>"
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score and spans (character offsets of offending stretches), one row per row of docs."""
+class Scorer:
+    """Scores of many texts at once; remembers tokens' emissions."""
 
-    def run(batches):
-        class Cache(dict):
+    def __init__(self, model: Model):
+        class Emissions(dict):
             def __missing__(self, token):
                 if len(self) >= CACHE:
                     self.clear()
                 out = self[token] = model.emission(token)
                 return out
 
-        get = Cache().__getitem__
+        self.model, self.get = model, Emissions().__getitem__
+
+    def __call__(self, texts) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The scores, and the log-odds of each text's tokens."""
+        each = []
+        for t in texts:
+            words = (t.as_py() or "").split()
+            each.append(np.fromiter(map(self.get, words), np.float64, len(words)))
+        if not each:
+            return np.zeros(0), []
+        lengths = np.array([len(x) for x in each], np.int64)
+        fwd, bwd = chains(np.concatenate(each), lengths, self.model.moves)
+        parts = np.split(fwd + bwd, np.cumsum(lengths)[:-1])
+        x = np.array([evidence(z) for z in parts])
+        return sigmoid(x @ self.model.score[:3] + self.model.score[3]), parts
+
+
+def score_column(model: Model, text: str = "text") -> Column:
+    """The score as a column: nothing else of the row goes through Python."""
+
+    @F.arrow_udf("double")
+    def toxicity(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(model)
+        for texts in batches:
+            yield pa.array(scorer(texts)[0], pa.float64())
+
+    return toxicity(F.col(text).cast("string"))
+
+
+def clean(docs: DataFrame, model: Model, at_least: float = AT_LEAST) -> DataFrame:
+    """docs without those that score at_least or more."""
+    return docs.where(score_column(model) < at_least)
+
+
+SCORES = "doc_id long, score double, spans array<struct<begin:int,end:int>>"
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score and spans (character offsets of offending stretches), one row per row of docs."""
+
+    def run(batches):
+        scorer = Scorer(model)
         kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
         for b in batches:
             texts = b.column(1)
-            each = []
-            for t in texts:
-                words = (t.as_py() or "").split()
-                each.append(np.fromiter(map(get, words), np.float64, len(words)))
-            lengths = np.array([len(x) for x in each], np.int64)
-            fwd, bwd = chains(np.concatenate([*each, np.zeros(0)]), lengths, model.moves)
-            parts = np.split(fwd + bwd, np.cumsum(lengths)[:-1]) if len(lengths) else []
-            x = np.array([evidence(z) for z in parts]).reshape(-1, 3)
-            scores = sigmoid(x @ model.score[:3] + model.score[3])
+            scores, parts = scorer(texts)
             spans = []
             for t, z in zip(texts, parts):
                 hit = np.flatnonzero(z >= 0)
