@@ -73,30 +73,30 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = M
 
 
 def dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with `_kept` (the text without later copies), `_n_lines` and `_removed` (array of begin, end) in addition."""
-    cuts = later_copies(docs.select("doc_id", "text"), min_lines, min_words).groupBy("key", "doc").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_removed"))
-    cuts = cuts.withColumnsRenamed({"key": "_key", "doc": "_doc"})
-    d = docs.withColumn("_line_key", _key())
-    d = d.join(cuts, (d._line_key == cuts._key) & d.doc_id.eqNullSafe(cuts._doc), "left").drop("_line_key", "_key", "_doc")
-    left = F.filter(_lines(F.col("text")), lambda _, i: ~F.exists("_removed", lambda r: (i >= r.begin) & (i < r.end)))
-    kept = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return d.withColumn("_kept", kept).withColumn("_n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).cast("long"))
+    """docs with `__line_kept` (the text without later copies), `__line_count` and `__line_cuts` (array of begin, end) in addition."""
+    cuts = later_copies(docs.select("doc_id", "text"), min_lines, min_words).groupBy("key", "doc").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("__line_cuts"))
+    cuts = cuts.withColumnsRenamed({"key": "__line_cut", "doc": "__line_doc"})
+    d = docs.withColumn("__line_key", _key())
+    d = d.join(cuts, (d["__line_key"] == cuts["__line_cut"]) & d.doc_id.eqNullSafe(cuts["__line_doc"]), "left").drop("__line_key", "__line_cut", "__line_doc")
+    left = F.filter(_lines(F.col("text")), lambda _, i: ~F.exists("__line_cuts", lambda r: (i >= r.begin) & (i < r.end)))
+    kept = F.when(F.col("__line_cuts").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return d.withColumn("__line_kept", kept).withColumn("__line_count", F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).cast("long"))
 
 
 def cleaned(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with their texts cut, columns as they were; n_chars, if there is one, follows. A document of which no word is left goes."""
     d = dedup(docs, min_lines, min_words)
-    d = d.where(F.col("_removed").isNull() | F.col("_kept").rlike(WORD)).withColumn("text", F.col("_kept"))
+    d = d.where(F.col("__line_cuts").isNull() | F.col("__line_kept").rlike(WORD)).withColumn("text", F.col("__line_kept"))
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+        d = d.withColumn("n_chars", F.when(F.col("__line_cuts").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return d.select(*(f"`{c}`" for c in docs.columns))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (of the kept lines, joined by line breaks)."""
     d = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    gone = F.coalesce(F.aggregate("_removed", F.lit(0).cast("long"), lambda a, r: a + r.end - r.begin), F.lit(0).cast("long"))
-    return d.select("doc_id", F.col("_n_lines").alias("n_lines"), gone.alias("n_removed"), F.sha2(F.encode(F.coalesce("_kept", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+    gone = F.coalesce(F.aggregate("__line_cuts", F.lit(0).cast("long"), lambda a, r: a + r.end - r.begin), F.lit(0).cast("long"))
+    return d.select("doc_id", F.col("__line_count").alias("n_lines"), gone.alias("n_removed"), F.sha2(F.encode(F.coalesce("__line_kept", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
 OP3_SQL = r"""

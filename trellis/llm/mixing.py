@@ -79,14 +79,14 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     Where a source's demand ends within a document, the copy has the words up to there, joined by spaces. Rows repeated as
     a whole are one row that is taken for all of them.
     """
-    chosen = mix(docs, **settings).where(F.size("laps") > 0).groupBy("doc_id", "_key").agg(F.flatten(F.collect_list("laps")).alias("_laps"), F.first("size").alias("_size"))
-    chosen = chosen.withColumnsRenamed({"doc_id": "_doc", "_key": "_chosen"})
-    d = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    d = d.join(chosen, (d._key == chosen._chosen) & d.doc_id.eqNullSafe(chosen._doc))
-    d = d.withColumn("_n", F.row_number().over(Window.partitionBy("_key", "_doc").orderBy("_size"))).where("_n = 1")
-    d = d.withColumn("_lap", F.explode("_laps"))
-    text = F.when(F.col("_lap.words") >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), F.col("_lap.words").cast("int")), " "))
-    d = d.withColumn("text", text).orderBy("_lap.position", "_key")
+    chosen = mix(docs, **settings).where(F.size("laps") > 0).groupBy("doc_id", "_key").agg(F.flatten(F.collect_list("laps")).alias("__mix_laps"), F.first("size").alias("__mix_size"))
+    chosen = chosen.withColumnsRenamed({"doc_id": "__mix_doc", "_key": "__mix_chosen"})
+    d = docs.withColumn("__mix_key", F.xxhash64("doc_id", "text"))
+    d = d.join(chosen, (d["__mix_key"] == chosen["__mix_chosen"]) & d.doc_id.eqNullSafe(chosen["__mix_doc"]))
+    d = d.withColumn("__mix_n", F.row_number().over(Window.partitionBy("__mix_key", "__mix_doc").orderBy("__mix_size"))).where("__mix_n = 1")
+    d = d.withColumn("__mix_lap", F.explode("__mix_laps"))
+    text = F.when(F.col("__mix_lap.words") >= F.col("__mix_size"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), F.col("__mix_lap.words").cast("int")), " "))
+    d = d.withColumn("text", text).orderBy("__mix_lap.position", "__mix_key")
     return d.select(*(f"`{c}`" for c in docs.columns))
 
 

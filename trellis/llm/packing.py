@@ -69,7 +69,8 @@ class Chunks(dict):
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if "\0" in text or len(text.split()) != text.count(" ") + text.count("\n") + 1:  # other white space, or two together
+        odd = "\0" in text or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n"
+        if odd or len(text.split()) != text.count(" ") + text.count("\n") + 1:  # white space together, at an end, or of another kind
             import array
 
             return array.array("I", self.slow.encode(text, add_special_tokens=False).ids).tobytes()

@@ -108,9 +108,9 @@ def groups(prints: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFra
 
 def cleaned(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One document of each group, that with the smallest doc_id; of rows repeated as a whole, one."""
-    stay = groups(fingerprints(docs), radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    d = docs.join(stay, docs.doc_id.eqNullSafe(stay._stays))
-    d = d.withColumn("_n", F.row_number().over(Window.partitionBy("_stays", F.xxhash64("text")).orderBy(F.lit(1)))).where("_n = 1")
+    stay = groups(fingerprints(docs), radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__sim_stays")).distinct()
+    d = docs.join(stay, docs.doc_id.eqNullSafe(stay["__sim_stays"]))
+    d = d.withColumn("__sim_n", F.row_number().over(Window.partitionBy("__sim_stays", F.xxhash64("text")).orderBy(F.lit(1)))).where("__sim_n = 1")
     return d.select(*(f"`{c}`" for c in docs.columns))
 
 
