@@ -104,7 +104,7 @@ def surround(grid: DataFrame, spec: GridSpec, fields: Mapping[str, Mapping[int,
 
 
 def shear_shift(grid: DataFrame, spec: GridSpec, field: str, shift: float, depth: int) -> DataFrame:
-    """Ghosts beyond the x faces of a shearing box: periodic in x, moved along y by `shift` cells, between cells by 6 points."""
+    """Ghosts beyond the x faces of a shearing box: periodic in x, with y + shift read below and y - shift above, between cells by 6 points."""
     from fractions import Fraction
 
     from .stencil import weights
