@@ -129,7 +129,7 @@ def spherical(d: Derivatives, f: str, r: Column, theta: Column) -> dict[str, Col
     """Gradient and Laplacian where x is radius, y colatitude and z longitude."""
     fr, ft, fp = d.d(f, 0), d.d(f, 1), d.d(f, 2)
     sin = F.sin(theta)
-    lap = d.d(f, 0, 2) + 2 * fr / r + (d.d(f, 1, 2) + fr * 0 + F.cos(theta) / sin * ft) / (r * r) + d.d(f, 2, 2) / (r * sin) ** 2
+    lap = d.d(f, 0, 2) + 2 * fr / r + (d.d(f, 1, 2) + F.cos(theta) / sin * ft) / (r * r) + d.d(f, 2, 2) / (r * sin) ** 2
     return {"grad_r": fr, "grad_theta": ft / r, "grad_phi": fp / (r * sin), "laplace": lap}
 
 

@@ -445,6 +445,50 @@ def event_line_smooth(spark, sf_dir):
     return d.select("x", (F.col("s") / 4.0).alias("smooth"), ray.running(F.col("v"), (1, 0, 0)).alias("total"))
 
 
+_T = "(f - 400) / 400"
+
+
+@query("intrinsics", with_grid(f"SELECT x, y, z, round(sin({_T}), 9) + 0.0 AS sin_, round(cos({_T}), 9) + 0.0 AS cos_, round(atan2({_T}, 2.0), 9) + 0.0 AS atan2_, round(exp({_T}), 9) + 0.0 AS exp_, round(pow(2.0, {_T}), 9) + 0.0 AS pow_, sqrt(g) AS sqrt_, floor(f / 8) AS floor_, ceil(f / 8) AS ceil_, least(f, h) AS least_, greatest(f, h) AS greatest_, abs(h - 40) AS abs_ FROM grid"))
+def intrinsics(spark, sf_dir):
+    t, f, g, h = (F.col("f") - 400) / 400, F.col("f"), F.col("g"), F.col("h")
+    r = lambda c: F.round(c, 9) + 0.0
+    return line_grid(spark, sf_dir).select(
+        *AXES, r(F.sin(t)).alias("sin_"), r(F.cos(t)).alias("cos_"), r(F.atan2(t, F.lit(2.0))).alias("atan2_"), r(F.exp(t)).alias("exp_"), r(F.pow(F.lit(2.0), t)).alias("pow_"), F.sqrt(g).alias("sqrt_"),
+        F.floor(f / 8).cast("double").alias("floor_"), F.ceil(f / 8).cast("double").alias("ceil_"), F.least(f, h).alias("least_"), F.greatest(f, h).alias("greatest_"), F.abs(h - 40).alias("abs_"))
+
+
+@query("vector_and_matrix_algebra", with_grid("SELECT x, y, z, f*g + g*h + h*w AS dot_, g*w - h*h AS cross_x, h*g - f*w AS cross_y, f*h - g*g AS cross_z, f*(g*h - w*w) - g*(g*h - f*w) + h*(g*w - f*g) AS det_, f + g + h AS trace_ FROM grid"))
+def vector_and_matrix_algebra(spark, sf_dir):
+    from ..functions import algebra as A
+
+    f, g, h, w = map(F.col, "fghw")
+    a, b = [f, g, h], [g, h, w]
+    c = A.cross(a, b)
+    m = [[f, g, h], [g, g, w], [f, w, h]]
+    return line_grid(spark, sf_dir).select(*AXES, A.dot(a, b).alias("dot_"), *(v.alias(f"cross_{k}") for k, v in zip(AXES, c)), A.determinant(m).alias("det_"), A.trace(m).alias("trace_"))
+
+
+@query("complex_arithmetic", with_grid("SELECT x, y, z, f*h - g*w AS re_, f*w + g*h AS im_, sqrt(f*f + g*g) AS abs_ FROM grid"))
+def complex_arithmetic(spark, sf_dir):
+    from ..functions.algebra import Complex
+
+    p, q = Complex(F.col("f"), F.col("g")), Complex(F.col("h"), F.col("w"))
+    return line_grid(spark, sf_dir).select(*AXES, (p * q).re.alias("re_"), (p * q).im.alias("im_"), p.abs().alias("abs_"))
+
+
+@query("lookup_table", with_grid(f"SELECT x, y, z, f * (1 + x % 4) AS f FROM grid WHERE x + y < {SIDE}"))
+def lookup_table(spark, sf_dir):
+    table = F.array(*(F.lit(float(k + 1)) for k in range(4)))
+    return line_grid(spark, sf_dir).where(F.col("x") + F.col("y") < SIDE).select(*AXES, (F.col("f") * F.element_at(table, F.col("x") % 4 + 1)).alias("f"))
+
+
+QUERIES["spherical_derivatives"] = _plain(lambda d: C.spherical(d, "f", F.col("x") + 1.0, (F.col("y") + 1.0) / 20))
+QUERIES["stretched_axis"] = _plain(lambda d: dict(zip(("first", "second"), C.stretched(d, "f", 2, 1 / (1 + 0.1 * F.col("z")), -0.1 / (1 + 0.1 * F.col("z")) ** 3))))
+QUERIES["potential_field"] = lambda spark, sf_dir: spectral.potential(R.band(line_grid(spark, sf_dir), z=(0, 1)), LINES, "f", 1.5, "f")
+QUERIES["multipole_potential"] = lambda spark, sf_dir: harmonics.potential(line_grid(spark, sf_dir), LINES, harmonics.moments(line_grid(spark, sf_dir), LINES, "f", 2), 2, "u").select(*AXES, "u")
+QUERIES["diffusion_time_loop"] = lambda spark, sf_dir: integrate.run(line_grid(spark, sf_dir), ("f",), _diffusion(LINES), 2, 0.05, 2)[0]
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem on a grid, its sixth-order Laplacian, reduced by planes."""
     return R.profile(QUERIES["laplace_order_6"](spark, sf_dir), "z", {"sum_lap": F.sum("lap"), "min_lap": F.min("lap"), "max_lap": F.max("lap")})
