@@ -31,12 +31,11 @@ def _local_dir() -> str:
     return "file://" + tempfile.mkdtemp(prefix="trellis-")
 
 
-def staged(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+def staged(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder as Parquet and read again: lineage ends there, and no lost executor makes it be computed anew."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    write = df.write.partitionBy(*by) if by else df.write
-    write.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -75,7 +74,6 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps; each is one aggregation and one join, so a node with very many
     neighbours is no group in one task. Ends when the edges stay as they are. Loops and repeated edges do no harm.
     """
-    spark = edges.sparkSession
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     while True:
