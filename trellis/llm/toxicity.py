@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
@@ -30,13 +31,13 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-TOXIC, CLEAN = 1000, 2000
+TOXIC, CLEAN = 800, 1600
 #: Weights smaller than this are dropped from the fitted model.
 TINY = 0.02
 AT_LEAST = 0.3
 #: Tokens of a training sequence.
 STEPS = 256
-CACHE = 400_000
+CACHE = 200_000
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 
 
@@ -102,9 +103,21 @@ class Vocabulary:
     def __init__(self, texts: list[list[str]]):
         self.of: dict[str, int] = {}
         self.docs = [np.fromiter((self.of.setdefault(w, len(self.of)) for w in t), np.int64, len(t)) for t in texts]
-        each = [features(w) for w in self.of]
-        self.known, self.flat = np.unique(np.fromiter((f for x in each for f in x), np.int64), return_inverse=True)
-        self.word = np.repeat(np.arange(len(each)), [len(x) for x in each])
+        flat, sizes = array("q"), array("q")
+        for w in self.of:
+            f = features(w)
+            flat.extend(f)
+            sizes.append(len(f))
+        sizes = np.frombuffer(sizes, np.int64) if sizes else np.zeros(0, np.int64)
+        flat = np.frombuffer(flat, np.int64) if flat else np.zeros(0, np.int64)
+        self.known, self.flat = np.unique(flat, return_inverse=True)
+        self.word = np.repeat(np.arange(len(sizes)), sizes)
+        self.first = np.concatenate(([0], np.cumsum(sizes)))
+
+    def of_words(self, words: np.ndarray) -> np.ndarray:
+        """The distinct features of some words."""
+        n = self.first[words + 1] - self.first[words]
+        return np.unique(self.flat[np.repeat(self.first[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
 
     def emissions(self, weights: np.ndarray, bias: float) -> np.ndarray:
         return np.bincount(self.word, weights[self.flat], len(self.of)) + bias
@@ -129,12 +142,8 @@ def apart(texts: list[list[str]], hashes: int = 16) -> list[int]:
 def marks(vocabulary: Vocabulary, toxic: np.ndarray) -> np.ndarray:
     """Whether each token of the vocabulary has a feature that marks toxic documents."""
     df = np.zeros((2, len(vocabulary.known)))
-    inverse = [[] for _ in range(len(vocabulary.of))]
-    for f, w in zip(vocabulary.flat.tolist(), vocabulary.word.tolist()):
-        inverse[w].append(f)
     for d, t in zip(vocabulary.docs, toxic):
-        got = {f for w in set(d.tolist()) for f in inverse[w]}
-        df[int(t), list(got)] += 1
+        df[int(t), vocabulary.of_words(np.unique(d))] += 1
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     a, b = df[1], df[0]
     share = (a + b) / max(1, n1 + n0)
@@ -207,6 +216,7 @@ def train(texts: list[str], toxic: list[int], share: float) -> Model:
         model.score = np.array([0.0, 0.0, 0.0, math.log(base / (1 - base))])
         return model
     vocabulary = Vocabulary(tokens)
+    del tokens
     known = marks(vocabulary, y)
     tags = [known[d] & bool(t) for d, t in zip(vocabulary.docs, y)]
     weights = fit_field(model, vocabulary, tags)
