@@ -329,3 +329,22 @@ def test_walk_and_random(spark):
     assert a == b and all(0 <= v < 8 for r in a for v in r[1:])
     r = spec.keys(spark).select(integrate.normal_random(3).alias("v")).agg(F.avg("v"), F.stddev("v")).first()
     assert abs(r[0]) < 0.2 and abs(r[1] - 1) < 0.15
+
+
+@pytest.mark.parametrize("dims", [2, 3])
+def test_moving_grid(spark, dims):
+    from trellis.operators import moving
+
+    spec = GridSpec((6, 5, 4) if dims == 3 else (6, 5, 1), periodic=(False, False, False))
+    k = np.indices(spec.n).astype(float)
+    p = k + 0.2 * np.random.default_rng(1).uniform(-1, 1, k.shape)
+    f = 2 * p[0] - 3 * p[1] + 0.5 * p[2] * (dims == 3)
+    g = grid(spark, px=p[0], py=p[1], pz=p[2], f=f)
+    got = moving.average_gradient(g, spec, {a: f"p{AXES[a]}" for a in range(dims)}, "f")
+    inner = (slice(1, -1),) * 2 + ((slice(1, -1),) if dims == 3 else (slice(None),))
+    for a, want in zip("xyz"[:dims], (2, -3, 0.5)):
+        close(array(got, f"grad_{a}", spec.n)[inner], want)
+    per = GridSpec(spec.n)
+    near = array(moving.coordinate_ghosts(g, per, {0: "px"}, ("f",), 0, 1), "px", (8, *spec.n[1:]), (-1, 0, 0))
+    close(near[0], p[0][-1] - 6)
+    close(near[7], p[0][0] + 6)

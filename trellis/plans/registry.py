@@ -489,6 +489,19 @@ QUERIES["multipole_potential"] = lambda spark, sf_dir: harmonics.potential(line_
 QUERIES["diffusion_time_loop"] = lambda spark, sf_dir: integrate.run(line_grid(spark, sf_dir), ("f",), _diffusion(LINES), 2, 0.05, 2)[0]
 
 
+def _moving(spark, sf_dir):
+    """Cells moved by up to a fifth of the spacing, by their own fields."""
+    from ..operators.moving import average_gradient
+
+    g = line_grid(spark, sf_dir)
+    for a, f in zip(AXES, V):
+        g = g.withColumn(f"p{a}", F.col(a) + (F.col(f) % 7 - 3) / 15)
+    return average_gradient(g, LINES, {k: f"p{a}" for k, a in enumerate(AXES)}, "w")
+
+
+QUERIES["moving_grid_gradient"] = _moving
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem on a grid, its sixth-order Laplacian, reduced by planes."""
     return R.profile(QUERIES["laplace_order_6"](spark, sf_dir), "z", {"sum_lap": F.sum("lap"), "min_lap": F.min("lap"), "max_lap": F.max("lap")})
