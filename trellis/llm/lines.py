@@ -40,6 +40,7 @@ def _repeating(suffixes: DataFrame) -> DataFrame:
     """suffixes (.., cls) that share their class with others, with the class's first place as `first`."""
     place = F.struct(F.col("doc").isNull().alias("last"), F.col("doc").alias("doc"), F.col("key").alias("key"), F.col("pos").alias("pos"))
     classes = suffixes.groupBy("cls").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("first")).where("_n > 1").drop("_n")
+    classes = staged(classes, "classes")  # a table of its own: a join of two plain shuffles can split a class with very many suffixes
     return suffixes.drop("first").join(classes, "cls")
 
 
