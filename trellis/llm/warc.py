@@ -56,7 +56,8 @@ def train(pages: DataFrame, payload: str) -> bytes:
     """A dictionary from a bounded sample; empty if there is too little to train on."""
     import zstandard
 
-    rows = pages.where(F.length(payload) > 0).orderBy(F.xxhash64("page_id")).select(F.substring(F.encode(payload, "UTF-8"), 1, SAMPLE_BYTES)).limit(SAMPLE).collect()
+    ids = [r[0] for r in pages.where(F.col("page_id").isNotNull()).select("page_id").orderBy(F.xxhash64("page_id")).limit(SAMPLE).collect()]
+    rows = pages.where(F.col("page_id").isin(ids) & (F.length(payload) > 0)).select(F.substring(F.encode(payload, "UTF-8"), 1, SAMPLE_BYTES)).limit(SAMPLE).collect() if ids else []
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r[0]) for r in rows]).as_bytes() if len(rows) > 7 else b""
     except zstandard.ZstdError:
