@@ -30,9 +30,9 @@ def shards(docs: DataFrame, n: int = SHARDS, seed: int = SEED, buckets: int = 10
     ranked = running_total(rows, ["_null", "_src"], "_u", ["doc_id", "text_crc32", "size"], "_one", "_rank", buckets).join(counts, ["_null", "_src"])
     ranked = staged(ranked.withColumn("_f", (F.col("_rank") + 0.5) / F.col("_n")), "ranked")
     placed = running_total(ranked, [], "_f", ["_null", "_src", "_u", "doc_id", "_rank"], "_one", "_place", buckets)
-    total = rows.agg(F.sum("_one").alias("_total"))
-    placed = placed.join(F.broadcast(total)).withColumn("_shard", F.expr(f"(_place * {n}) div _total"))  # one row
-    first = F.expr(f"(_shard * _total + {n - 1}) div {n}")
+    total = max(1, rows.count())
+    placed = placed.withColumn("_shard", F.expr(f"(_place * {n}) div {total}L"))
+    first = F.expr(f"(_shard * {total}L + {n - 1}) div {n}")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("_shard").cast("int").alias("shard"), (F.col("_place") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
