@@ -71,12 +71,15 @@ def _dots(g: DataFrame, **pairs: tuple[str, str]) -> dict[str, float]:
     return {k: row[k] or 0.0 for k in pairs}
 
 
-def cg(grid: DataFrame, spec: GridSpec, op: S.Stencil, x: str, b: str, tolerance: float = 1e-8, most: int = 200, precondition: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, int, float]:
-    """Conjugate gradients for a symmetric definite stencil. precondition adds z to a grid that has r. Returns grid, rounds, residual norm."""
+def cg(grid: DataFrame, spec: GridSpec, op: S.Stencil, x: str, b: str, tolerance: float = 1e-8, most: int = 200, precondition: Callable[[DataFrame], DataFrame] | None = None, relative: float = 0.0) -> tuple[DataFrame, int, float]:
+    """Conjugate gradients for a symmetric definite stencil. precondition adds z to a grid that has r. Returns grid, rounds, residual norm.
+
+    Ends at a residual norm of tolerance, or of relative times the norm of b, or after `most` rounds; the caller has to look at the norm.
+    """
     pre = precondition or (lambda g: g.withColumn("z_", F.col("r")))
     g = settled(pre(residual(grid, spec, op, x, b)).withColumn("p", F.col("z_")))
-    d = _dots(g, rz=("r", "z_"), rr=("r", "r"))
-    k = 0
+    d = _dots(g, rz=("r", "z_"), rr=("r", "r"), bb=(b, b))
+    tolerance, k = max(tolerance, relative * d["bb"] ** 0.5), 0
     while d["rr"] ** 0.5 > tolerance and k < most:
         g = settled(S.apply(g, spec, {"q": (op, "p")}, (x, b, "r", "z_", "p")))
         pq = _dots(g, pq=("p", "q"))["pq"]
@@ -90,10 +93,11 @@ def cg(grid: DataFrame, spec: GridSpec, op: S.Stencil, x: str, b: str, tolerance
     return g.select(*AXES, x, b), k, d["rr"] ** 0.5
 
 
-def bicgstab(grid: DataFrame, spec: GridSpec, op: S.Stencil, x: str, b: str, tolerance: float = 1e-8, most: int = 200) -> tuple[DataFrame, int, float]:
-    """For stencils that need not be symmetric."""
+def bicgstab(grid: DataFrame, spec: GridSpec, op: S.Stencil, x: str, b: str, tolerance: float = 1e-8, most: int = 200, relative: float = 0.0) -> tuple[DataFrame, int, float]:
+    """For stencils that need not be symmetric; ends as cg does."""
     g = settled(residual(grid, spec, op, x, b).withColumns({"r0": F.col("r"), "p": F.col("r")}))
-    rho = _dots(g, rr=("r0", "r"))["rr"]
+    d = _dots(g, rr=("r0", "r"), bb=(b, b))
+    rho, tolerance = d["rr"], max(tolerance, relative * d["bb"] ** 0.5)
     norm, k = rho**0.5, 0
     while norm > tolerance and k < most:
         g = settled(S.apply(g, spec, {"v": (op, "p")}, (x, b, "r", "r0", "p")))
@@ -115,6 +119,15 @@ def bicgstab(grid: DataFrame, spec: GridSpec, op: S.Stencil, x: str, b: str, tol
     return g.select(*AXES, x, b), k, norm
 
 
+def solved(found: tuple[DataFrame, int, float], spec: GridSpec, op: S.Stencil, x: str, b: str, relative: float) -> DataFrame:
+    """The grid of cg's or bicgstab's result; an error if b - op x, computed anew, is more than twice relative times b in norm."""
+    grid, rounds, _ = found
+    d = _dots(residual(grid, spec, op, x, b), rr=("r", "r"), bb=(b, b))
+    if not d["rr"] ** 0.5 <= 2 * relative * d["bb"] ** 0.5:
+        raise ArithmeticError(f"residual {d['rr'] ** 0.5:g} for a right side of norm {d['bb'] ** 0.5:g} after {rounds} rounds")
+    return grid
+
+
 def direct(grid: DataFrame, spec: GridSpec, op: S.Stencil, x: str, b: str) -> DataFrame:
     """A small periodic grid, solved on the driver in wave space; the answer has mean 0 if the stencil has no constant part."""
     if spec.cells > SMALL:
