@@ -38,7 +38,8 @@ class Chunks(dict):
 
     Keys: a chunk after a space is itself; one at the start of the text or after a line break has a NUL before it.
     In the byte-level pattern no token but white space goes over a space that has other characters on both sides, so
-    ids of such chunks, joined, are the ids of the text.
+    ids of such chunks, joined, are the ids of the text. Texts that hold the text of an added token, such as an end mark, go
+    to the tokenizer itself, which gives the added token's id.
     """
 
     def __init__(self, path: str):
@@ -47,10 +48,10 @@ class Chunks(dict):
 
         super().__init__()
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {x["content"] for x in spec["added_tokens"]}
+        self.added = tuple(x["content"] for x in spec["added_tokens"])
+        special = set(self.added)
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         table = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in visible)}
         ranks = {bytes(table[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in special}
@@ -70,7 +71,8 @@ class Chunks(dict):
         if not text:
             return b""
         odd = "\0" in text or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n"
-        if odd or len(text.split()) != text.count(" ") + text.count("\n") + 1:  # white space together, at an end, or of another kind
+        odd = odd or len(text.split()) != text.count(" ") + text.count("\n") + 1  # white space together, at an end, or of another kind
+        if odd or any(a in text for a in self.added):  # an added token's text is one id, whatever stands around it
             import array
 
             return array.array("I", self.slow.encode(text, add_special_tokens=False).ids).tobytes()
