@@ -1,7 +1,7 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 Labels are on documents, so token labels come first: over a bounded sample of labelled documents, words and word beginnings
-that mark the toxic ones (a likelihood-ratio test on document counts, near copies counted once) tag the tokens of toxic
+that mark the toxic ones (an exact test on document counts, near copies counted once) tag the tokens of toxic
 documents; tokens of clean ones are clean. The field is fitted to these tags. A token's features are its word and its first 3 to 8 letters, hashed; transitions are free.
 
 Scoring reads whole texts. Forward-backward gives each token's marginal; the largest, their sum and the number of likely ones
@@ -11,7 +11,7 @@ The model's parameters are the sample's bounds: TOXIC and CLEAN documents at mos
 isn't 2. Everything else is over all rows. Labels, language, source and id are no inputs of a score.
 
 Defined cases: a null or empty text has no tokens and gets the score of a document without evidence; labels that are null
-are passed over; without labels of both kinds every score is the share of toxic labels, or 0; rows repeated are scored alike.
+are passed over, and of a document with both labels the toxic one counts; without labels of both kinds every score is the share of toxic labels, or 0; rows repeated are scored alike.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import math
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
@@ -126,32 +127,43 @@ class Vocabulary:
         return np.bincount(self.flat, by_word[self.word], len(self.known))
 
 
-def apart(texts: list[list[str]], hashes: int = 16) -> list[int]:
-    """The texts that share none of their least shingle hashes with an earlier one: near copies count once."""
-    seen: set[tuple[int, int]] = set()
+def apart(texts: list[list[str]], hashes: int = 16, most: int = 12) -> list[int]:
+    """The texts of which fewer than `most` of the least shingle hashes agree with one text kept before: near copies count once."""
+    seen: dict[tuple[int, int], list[int]] = {}
     keep = []
     for i, t in enumerate(texts):
         h = np.fromiter((zlib.crc32(" ".join(t[k : k + 3]).encode()) for k in range(max(1, len(t) - 2))), np.uint64)
-        marks = {(k, int(((h * np.uint64(2654435761 + 2 * k * 40503) + np.uint64(k)) & np.uint64(0xFFFFFFFF)).min())) for k in range(hashes)}
-        if not marks & seen:
+        marks = [(k, int(((h * np.uint64(2654435761 + 2 * k * 40503) + np.uint64(k)) & np.uint64(0xFFFFFFFF)).min())) for k in range(hashes)]
+        agree = Counter(j for m in marks for j in seen.get(m, ()))
+        if max(agree.values(), default=0) < most:
             keep.append(i)
-        seen |= marks
+            for m in marks:
+                seen.setdefault(m, []).append(i)
     return keep
 
 
-def marks(vocabulary: Vocabulary, toxic: np.ndarray) -> np.ndarray:
-    """Whether each token of the vocabulary has a feature that marks toxic documents."""
-    df = np.zeros((2, len(vocabulary.known)))
+def marks(vocabulary: Vocabulary, toxic: np.ndarray, false: float = 0.1) -> np.ndarray:
+    """Whether each token of the vocabulary has a feature that marks toxic documents.
+
+    A feature's p-value is the chance that, of the documents that have it, so many are toxic if labels were dealt at random
+    (hypergeometric). Features are taken in order of it as far as the expected share of false ones is `false` (Benjamini and
+    Hochberg), which asks for less from each marker when there are many, and holds in small and large samples alike.
+    """
+    df = np.zeros((2, len(vocabulary.known)), np.int64)
     for d, t in zip(vocabulary.docs, toxic):
         df[int(t), vocabulary.of_words(np.unique(d))] += 1
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     a, b = df[1], df[0]
-    share = (a + b) / max(1, n1 + n0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = 2 * (np.where(a > 0, a * np.log(a / np.maximum(n1 * share, 1e-9)), 0) + np.where(b > 0, b * np.log(b / np.maximum(n0 * share, 1e-9)), 0))
-        precise = (a / max(1, n1)) >= 8 * (b / max(1, n0))
-    usual = a + b >= 3
-    good = (ratio >= 2 * math.log(max(2, usual.sum()))) & precise & usual  # among that many features, one by chance
+    log = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n1 + n0 + 2)))))  # logarithms of factorials
+    pick = lambda n, k: log[n] - log[k] - log[n - k]
+    first = pick(n1, a) + pick(n0, b) - pick(n1 + n0, a + b)
+    ratio = b * (n1 - a) / ((a + 1.0) * (n0 - b + 1.0))  # of the next term of the tail to this one; it falls from there on
+    p = np.where(ratio < 1, np.exp(first) / np.maximum(1 - ratio, 1e-9), 1.0)
+    usual = a + b >= 2
+    p = np.where(usual & (a / max(1, n1) >= 8 * (b / max(1, n0))), p, 1.0)
+    line = false * np.arange(1, len(p) + 1) / max(1, int(usual.sum()))
+    under = np.flatnonzero(np.sort(p) <= line)
+    good = p <= (np.sort(p)[under[-1]] if len(under) else -1.0)
     return np.bincount(vocabulary.word, good[vocabulary.flat], len(vocabulary.of)) > 0
 
 
@@ -236,13 +248,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> Model:
     """Fits the model on a bounded sample of the labelled rows that aren't held out, the first in a seeded order."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("_y"))
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("_y"))
     counts = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = [F.xxhash64(F.lit(3), "doc_id"), F.col("doc_id")]
     ids = [(r[0], r[1]) for y, n in ((1, toxic), (0, clean)) for r in known.where(F.col("_y") == y).orderBy(*order).limit(n).collect()]
     if not ids:
         return train([], [], 0.0)
-    pick = docs.sparkSession.createDataFrame(ids, "doc_id long, _y int").dropDuplicates(["doc_id"])
+    pick = docs.sparkSession.createDataFrame(ids, "doc_id long, _y int")
     rows = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").where(F.col("text").isNotNull()).select("doc_id", "text", "_y").collect()  # toxic + clean rows at most
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
     return train([r["text"] for r in rows], [r["_y"] for r in rows], counts.get(1, 0) / max(1, sum(counts.values())))
