@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trellis.llm import embeddings, exact_dedup, lines, mixing, packing, sharding, simhash, substrings, toxicity, warc
-from trellis.llm.common import components, running_total, shared_dir, unit_hash
+from trellis.llm.common import components, numbered, running_total, shared_dir, unit_hash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _key string, kept string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -225,6 +225,32 @@ def test_mixing(docs, rows, none):
     assert mixing.mix(none).count() == 0 and mixing.mixed(none).count() == 0
 
 
+def test_mixing_schedules(spark):
+    d = spark.createDataFrame([(i, "a b c d", "x" if i % 2 else None) for i in range(400)], "doc_id long, text string, source string")
+    line = {"x": (0.0, 0.0, 3.0, 1.0), None: (2.0, 1.0, 0.0, 0.0)}
+    got = mixing.mix(d, schedules=line, weights=(1.0,), budget=1.0).collect()
+    for source, w in line.items():
+        mine = sorted(r.position for r in got if (r.doc_id % 2 == 1) == (source == "x"))
+        at = np.linspace(0, 1, len(w))
+        t = np.linspace(0, 1, 3001)
+        demand = np.concatenate(([0], np.cumsum(np.interp((t[1:] + t[:-1]) / 2, at, w))))
+        assert np.allclose(np.interp(mine, t, demand / demand[-1]), np.arange(200) / 200, atol=2e-3)
+        assert 0 <= mine[0] and mine[-1] <= 1
+    with pytest.raises(ValueError):
+        mixing.mix(d, schedules={"x": (0.0, 0.0)})
+
+
+def test_rows_all_alike(spark):
+    """Windows of rows that are all alike are cut up, in mixing and sharding."""
+    d = spark.range(3000, numPartitions=6).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b").alias("text"), F.lit("s").alias("source"))
+    got = mixing.mix(d, budget=0.5, buckets=64).collect()
+    assert sum(r.taken for r in got) == 3000 and {r.taken for r in got} == {0, 2}
+    got = sharding.shards(d, 4, buckets=64).collect()
+    assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(4) for k in range(750)]
+    n = numbered(d, ["doc_id", "text"], "n").select("n").collect()
+    assert sorted(r.n for r in n) == list(range(3000))
+
+
 def test_mixed_documents(docs, rows):
     out = mixing.mixed(docs).collect()
     assert docs.columns == list(out[0].asDict()) and {r["_key"] for r in out} <= {"clash", None}
