@@ -186,7 +186,22 @@ def test_exact_dedup(spark, docs, rows, none):
     assert {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.dedup(later, index).collect()} == {-5: (0, False), -6: (-7, False), -7: (-7, True)}
     assert exact_dedup.dedup(none, index).count() == 0
     assert index.read().count() == len(size) + 1
+    again = exact_dedup.DigestIndex(spark, "digests_test", bucket_digests=2)  # it grows with the next batch
+    spark.sql(f"DROP TABLE digests_test_b{again.buckets}")  # as in another session, whose catalogue doesn't know it
+    before = again.buckets
+    assert {r.doc_id: r.keep_id for r in exact_dedup.dedup(later, again).collect()} == {-5: 0, -6: -7, -7: -7}
+    assert again.buckets > before and again.read().count() == len(size) + 1
+    again.drop()
+    assert not again.exists() and exact_dedup.dedup(none, again).count() == 0
+    again.drop()
+
+
+def test_exact_dedup_hot_text(spark):
+    d = spark.range(4000).select("id", F.when(F.col("id") % 2 == 0, "").otherwise(F.col("id").cast("string")).alias("text")).withColumnRenamed("id", "doc_id")
+    index = exact_dedup.DigestIndex(spark, "digests_hot")
+    found = exact_dedup.dedup(d, index)
     index.drop()
+    assert found.where("kept").count() == 2001 and found.where("group_size = 2000 AND keep_id = 0").count() == 2000
 
 
 # --- 5
@@ -327,7 +342,21 @@ def test_simhash_fingerprints(docs, rows, none):
     kept = simhash.cleaned(docs)
     ids = [r.doc_id for r in kept.collect()]
     assert kept.columns == docs.columns and 7 in ids and not set(range(200, 215)) & set(ids) and len(ids) == len(set(ids)) and 3 in ids and 405 not in ids
-    assert simhash.cleaned(none).count() == 0
+    assert simhash.cleaned(none).count() == 0 and simhash.groups(simhash.fingerprints(none)).count() == 0
+
+
+def test_pivot_rows(spark):
+    """Rows of fingerprints at most 2 bits apart differ by 2 at most in every coordinate, and agree in two groups."""
+    rng = np.random.default_rng(12)
+    a = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 200)]
+    b = [x ^ (1 << int(i)) ^ (1 << int(j)) for x, i, j in zip(a, rng.integers(0, 62, 200), rng.integers(0, 62, 200))]
+    d = spark.createDataFrame([(k, x) for k, x in enumerate(a + b)], "k long, fp long").select("k", simhash.pivot_row().alias("row")).select("k", "row", simhash.candidate_keys().alias("keys"))
+    got = {r.k: r for r in d.collect()}
+    assert len(got[0].row) == len(simhash.references()) == 45 and len(got[0]["keys"]) == 6
+    for k in range(200):
+        p, q = got[k], got[k + 200]
+        assert max(abs(x - y) for x, y in zip(p.row, q.row)) <= 2 and any(x == y for x, y in zip(p["keys"], q["keys"]))
+        assert p.row == [(x ^ a[k]).bit_count() if x ^ a[k] >= 0 else 64 - (~(x ^ a[k])).bit_count() for x in simhash.references()]
 
 
 # --- 8

@@ -63,12 +63,12 @@ def test_stage(spark):
 
 
 def test_crowded_keys(spark):
-    jaccard = pytest.importorskip("trellis.llm.jaccard")
+    wide = pytest.importorskip("trellis.llm.simhash_wide")
     texts = planted()
     sets = {i: shingles(t) for i, t in texts.items()}
     want = components(texts)
-    got = {r.doc_id: r.component_id for r in jaccard.groups(frame(spark, texts), most=2).collect()}
+    got = {r.doc_id: r.component_id for r in wide.groups(frame(spark, texts), most=2).collect()}
     kept = sorted(set(got.values()))
     assert all(want[i] == want[c] for i, c in got.items())
     assert not any(alike(sets[a], sets[b]) for a in kept for b in kept if a < b)
-    assert jaccard.cleaned(frame(spark, texts).where("false")).count() == 0
+    assert wide.groups(frame(spark, texts).where("false")).count() == 0
