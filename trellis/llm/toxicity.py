@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-TOXIC, CLEAN = 800, 1600
+TOXIC, CLEAN = 400, 800
 #: Weights smaller than this are dropped from the fitted model.
 TINY = 0.02
 AT_LEAST = 0.3
@@ -103,7 +103,7 @@ class Vocabulary:
 
     def __init__(self, texts: list[list[str]]):
         self.of: dict[str, int] = {}
-        self.docs = [np.fromiter((self.of.setdefault(w, len(self.of)) for w in t), np.int64, len(t)) for t in texts]
+        self.docs = [np.fromiter((self.of.setdefault(w, len(self.of)) for w in t), np.int32, len(t)) for t in texts]
         flat, sizes = array("q"), array("q")
         for w in self.of:
             f = features(w)
@@ -111,8 +111,9 @@ class Vocabulary:
             sizes.append(len(f))
         sizes = np.frombuffer(sizes, np.int64) if sizes else np.zeros(0, np.int64)
         flat = np.frombuffer(flat, np.int64) if flat else np.zeros(0, np.int64)
-        self.known, self.flat = np.unique(flat, return_inverse=True)
-        self.word = np.repeat(np.arange(len(sizes)), sizes)
+        self.known, flat = np.unique(flat, return_inverse=True)
+        self.flat = flat.astype(np.int32)
+        self.word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.first = np.concatenate(([0], np.cumsum(sizes)))
 
     def of_words(self, words: np.ndarray) -> np.ndarray:
