@@ -133,6 +133,33 @@ def spherical(d: Derivatives, f: str, r: Column, theta: Column) -> dict[str, Col
     return {"grad_r": fr, "grad_theta": ft / r, "grad_phi": fp / (r * sin), "laplace": lap}
 
 
+def cylindrical(d: Derivatives, f: str, r: Column) -> dict[str, Column]:
+    """Gradient and Laplacian where x is radius, y azimuth and z height."""
+    fr, fp = d.d(f, 0), d.d(f, 1)
+    return {"grad_r": fr, "grad_phi": fp / r, "grad_z": d.d(f, 2), "laplace": d.d(f, 0, 2) + fr / r + d.d(f, 1, 2) / (r * r) + d.d(f, 2, 2)}
+
+
+def spherical_vector(d: Derivatives, v: Vector, r: Column, theta: Column) -> dict[str, Column]:
+    """Divergence and curl of a vector of radial, polar and azimuthal components; they read the components themselves."""
+    sin, cot = F.sin(theta), F.cos(theta) / F.sin(theta)
+    vr, vt, vp = map(F.col, v)
+    return {
+        "div": d.d(v[0], 0) + 2 * vr / r + (d.d(v[1], 1) + cot * vt) / r + d.d(v[2], 2) / (r * sin),
+        "curl_r": (d.d(v[2], 1) + cot * vp) / r - d.d(v[1], 2) / (r * sin),
+        "curl_theta": d.d(v[0], 2) / (r * sin) - vp / r - d.d(v[2], 0),
+        "curl_phi": d.d(v[1], 0) + vt / r - d.d(v[0], 1) / r,
+    }
+
+
+def matrix_divergence(d: Derivatives, m: tuple[Vector, Vector, Vector]) -> list[Column]:
+    """Of a tensor, row by row."""
+    return [divergence(d, row) for row in m]
+
+
+def matrix_curl(d: Derivatives, m: tuple[Vector, Vector, Vector]) -> list[list[Column]]:
+    return [curl(d, row) for row in m]
+
+
 def stretched(d: Derivatives, f: str, axis: int, slope: Column, bend: Column | None = None) -> tuple[Column, Column]:
     """First and second derivative on a non-equidistant axis: slope is d(index)/d(coordinate), bend its own derivative."""
     first = d.d(f, axis)
@@ -140,11 +167,13 @@ def stretched(d: Derivatives, f: str, axis: int, slope: Column, bend: Column | N
     return first * slope, second + first * bend if bend is not None else second
 
 
-def shock(grid: DataFrame, spec: GridSpec, v: Vector, radius: int = 2, keep: tuple[str, ...] = (), accuracy: int = 6) -> DataFrame:
-    """Artificial viscosity profile: converging flow, its local maximum, smoothed."""
+def shock(grid: DataFrame, spec: GridSpec, v: Vector, keep: tuple[str, ...] = (), accuracy: int = 6) -> DataFrame:
+    """Shock viscosity: converging flow, its maximum over the neighbours that an order's stencils reach, smoothed, times the least spacing squared."""
     conv = select(grid, spec, lambda d: {"_c": F.greatest(-divergence(d, v), F.lit(0.0))}, keep, accuracy)
-    peak = S.apply(conv, spec, {"_m": (S.local_max(radius), "_c")}, keep)
-    return S.apply(peak, spec, {"shock": (S.binomial(1), "_m")}, keep)
+    peak = S.apply(conv, spec, {"_m": (S.local_max(1) if accuracy == 2 else S.ball(3), "_c")}, keep)
+    axes = tuple(a for a in range(3) if spec.active(a))
+    least = min((spec.spacing[a] for a in axes), default=1.0)
+    return S.apply(peak, spec, {"shock": (S.smooth(accuracy, axes).scaled(least * least), "_m")}, keep)
 
 
 def limited_slopes(left: Column, right: Column) -> Column:
@@ -152,22 +181,34 @@ def limited_slopes(left: Column, right: Column) -> Column:
     return F.when(left * right <= 0, 0.0).otherwise(F.when(F.abs(left) < F.abs(right), left).otherwise(right))
 
 
-def slope_limited_diffusion(grid: DataFrame, spec: GridSpec, f: str, speed: Column | float = 1.0, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Divergence of the fluxes speed/2 times the jumps of limited reconstructions at the cells' faces."""
-    one = Derivatives(spec, 2)
+def slope_limited_diffusion(grid: DataFrame, spec: GridSpec, f: str, speed: str, steepness: float = 2.0, power: float = 1.0, keep: tuple[str, ...] = (), ln_field: bool = False) -> DataFrame:
+    """Divergence of the fluxes at the cells' faces: speed/2 at the face, times the jump of limited reconstructions there, times Q.
+
+    Q = min(1, steepness * jump / step) ** power, step being the difference of the two cells' values; 0 where jump and step have
+    other signs or there is no step. ln_field: the field is a logarithm, its exponential is diffused. speed: the field of the characteristic speed.
+    """
     taps = {}
     for a in range(3):
         if spec.active(a):
             for k in (-2, -1, 1, 2):
                 taps[f"_{a}_{k}"] = (S.Stencil.of({S._on(a, k): 1.0}), f)
-    g = S.apply(grid, spec, taps, tuple(dict.fromkeys((f, *keep))))
+            for k in (-1, 1):
+                taps[f"_c{a}_{k}"] = (S.Stencil.of({S._on(a, k): 1.0}), speed)
+    g = S.apply(grid, spec, taps, tuple(dict.fromkeys((f, speed, *keep))))
     total = F.lit(0.0)
+    value = (lambda c: F.exp(c)) if ln_field else (lambda c: c)
     for a in range(3):
         if not spec.active(a):
             continue
-        v = {k: F.col(f"_{a}_{k}") for k in (-2, -1, 1, 2)} | {0: F.col(f)}
-        slope = {k: limited_slopes(v[k] - v[k - 1], v[k + 1] - v[k]) for k in (-1, 0, 1)}
-        jump = {k: (v[k + 1] - slope[k + 1] / 2) - (v[k] + slope[k] / 2) for k in (-1, 0)}
-        total = total + (jump[0] - jump[-1]) / one.spec.spacing[a]
-    c = F.lit(float(speed)) if isinstance(speed, (int, float)) else speed
-    return g.select(*AXES, *keep, (c / 2 * total).alias("diffusion"))
+        v = {k: value(F.col(f"_{a}_{k}")) for k in (-2, -1, 1, 2)} | {0: value(F.col(f))}
+        slope = {k: limited_slopes(v[k] - v[k - 1], v[k + 1] - v[k]) / 2 for k in (-1, 0, 1)}
+
+        def flux(k, a=a, v=v, slope=slope):
+            """Through the face between the cells k and k + 1."""
+            jump, across = (v[k + 1] - slope[k + 1]) - (v[k] + slope[k]), v[k + 1] - v[k]
+            q = F.when(jump * across > 0, F.pow(F.least(F.lit(1.0), steepness * jump / across), F.lit(float(power)))).otherwise(0.0)
+            c = (F.col(speed) + F.col(f"_c{a}_{1 if k == 0 else -1}")) / 2
+            return c / 2 * q * jump
+
+        total = total + (flux(0) - flux(-1)) / spec.spacing[a]
+    return g.select(*AXES, *keep, total.alias("diffusion"))

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import settled
+from ..runtime import replaced, settled
 from ..spec import AXES, GridSpec
 from . import calculus as C
 
@@ -22,16 +22,25 @@ LOW_STORAGE = {
     2: ((0.0, -1 / 2), (1 / 2, 1.0)),
     3: ((0.0, -5 / 9, -153 / 128), (1 / 3, 15 / 16, 8 / 15)),
 }
-# Fehlberg's fourth and fifth order pair.
-FEHLBERG_A = ((), (1 / 4,), (3 / 32, 9 / 32), (1932 / 2197, -7200 / 2197, 7296 / 2197), (439 / 216, -8, 3680 / 513, -845 / 4104), (-8 / 27, 2, -3544 / 2565, 1859 / 4104, -11 / 40))
-FEHLBERG_C = (0, 1 / 4, 3 / 8, 12 / 13, 1, 1 / 2)
-FEHLBERG_4 = (25 / 216, 0, 1408 / 2565, 2197 / 4104, -1 / 5, 0)
-FEHLBERG_5 = (16 / 135, 0, 6656 / 12825, 28561 / 56430, -9 / 50, 2 / 55)
+# Five-stage low-storage scheme of fourth order, its third-order weights for the error, and the stages' own coefficients.
+RKF4_BETA = (1153189308089 / 22510343858157, 1772645290293 / 4653164025191, -1672844663538 / 4480602732383, 2114624349019 / 3568978502595, 5198255086312 / 14908931495163)
+RKF4_BETA_HAT = (1016888040809 / 7410784769900, 11231460423587 / 58533540763752, -1563879915014 / 6823010717585, 606302364029 / 971179775848, 1097981568119 / 3980877426909)
+RKF4_ALPHA = (970286171893 / 4311952581923, 6584761158862 / 12103376702013, 2251764453980 / 15575788980749, 26877169314380 / 34165994151039, 0.0)
+
+
+def _with_rates(g: DataFrame, fields: tuple[str, ...], carried: dict[str, str], rhs: Rhs, t: float) -> DataFrame:
+    """g with d_<field>; a right-hand side that gives back its input's other columns spares the join with them."""
+    d = rhs(g, t)
+    rates = [f"d_{f}" for f in fields]
+    if set(carried) <= set(d.columns):
+        return d.select(*AXES, *carried, *rates)
+    return g.select(*AXES, *carried).join(d.select(*AXES, *rates), list(AXES))
 
 
 def step(grid: DataFrame, fields: tuple[str, ...], rhs: Rhs, t: float, dt: float, order: int = 3) -> DataFrame:
     """One low-storage step. Settled once for each stage."""
     alphas, betas = LOW_STORAGE[order]
+    carried = dict.fromkeys((*fields, *(f"w_{f}" for f in fields)), "")
     g = grid.select(*AXES, *fields, *(F.lit(0.0).alias(f"w_{f}") for f in fields))
     at = [0.0]
     for k in range(len(betas) - 1):  # the stages' times: a step of size c with f' = 1
@@ -41,26 +50,34 @@ def step(grid: DataFrame, fields: tuple[str, ...], rhs: Rhs, t: float, dt: float
             w = a * w + 1
             f += b * w
         at.append(f)
+    last = None
     for a, b, c in zip(alphas, betas, at):
-        # the right-hand side may drop columns, so the carried ones go along by key
-        d = rhs(g.select(*AXES, *fields), t + c * dt).select(*AXES, *(f"d_{f}" for f in fields))
-        g = g.join(d, list(AXES))
+        g = _with_rates(g, fields, carried, rhs, t + c * dt)
         w = {f: F.lit(a) * F.col(f"w_{f}") + F.lit(dt) * F.col(f"d_{f}") for f in fields}
         g = settled(g.select(*AXES, *((F.col(f) + F.lit(b) * w[f]).alias(f) for f in fields), *(w[f].alias(f"w_{f}") for f in fields)))
+        last = replaced(last, g)
     return g.select(*AXES, *fields)
 
 
-def fehlberg(grid: DataFrame, fields: tuple[str, ...], rhs: Rhs, t: float, dt: float) -> tuple[DataFrame, float]:
-    """One step of fifth order, and the largest difference from fourth order."""
-    g = grid.select(*AXES, *fields)
-    for k, (row, c) in enumerate(zip(FEHLBERG_A, FEHLBERG_C)):
-        at = [(F.col(f) + sum((F.lit(dt * a) * F.col(f"k{j}_{f}") for j, a in enumerate(row) if a), F.lit(0.0))).alias(f) for f in fields]
-        d = rhs(g.select(*AXES, *at), t + c * dt).select(*AXES, *(F.col(f"d_{f}").alias(f"k{k}_{f}") for f in fields))
-        g = settled(g.join(d, list(AXES)))
-    new = {f: F.col(f) + sum((F.lit(dt * b) * F.col(f"k{j}_{f}") for j, b in enumerate(FEHLBERG_5) if b), F.lit(0.0)) for f in fields}
-    off = {f: F.abs(sum((F.lit(dt * (b - a)) * F.col(f"k{j}_{f}") for j, (a, b) in enumerate(zip(FEHLBERG_4, FEHLBERG_5)) if a != b), F.lit(0.0))) for f in fields}
-    out = settled(g.select(*AXES, *(new[f].alias(f) for f in fields), F.greatest(*off.values(), F.lit(0.0)).alias("_e")))
-    return out.select(*AXES, *fields), out.agg(F.max("_e")).first()[0] or 0.0
+def rkf4(grid: DataFrame, fields: tuple[str, ...], rhs: Rhs, t: float, dt: float) -> tuple[DataFrame, float]:
+    """One step of fourth order in five stages with three registers, and the largest difference from third order.
+
+    A stage's rate goes into the sum with its beta, and, with its alpha, on the sum as it was before, into the next stage's argument.
+    """
+    sums, errors = [f"s_{f}" for f in fields], [f"e_{f}" for f in fields]
+    carried = dict.fromkeys((*fields, *sums, *errors), "")
+    g = grid.select(*AXES, *fields, *(F.col(f).alias(f"s_{f}") for f in fields), *(F.lit(0.0).alias(e) for e in errors))
+    last = None
+    for k, (alpha, beta, hat) in enumerate(zip(RKF4_ALPHA, RKF4_BETA, RKF4_BETA_HAT)):
+        at = sum(RKF4_BETA[: k - 1]) + RKF4_ALPHA[k - 1] if k else 0.0
+        g = _with_rates(g, fields, carried, rhs, t + at * dt)
+        rate = {f: F.lit(dt) * F.col(f"d_{f}") for f in fields}
+        g = settled(g.select(
+            *AXES, *((F.col(f"s_{f}") + F.lit(alpha) * rate[f]).alias(f) for f in fields),
+            *((F.col(f"s_{f}") + F.lit(beta) * rate[f]).alias(f"s_{f}") for f in fields), *((F.col(f"e_{f}") + F.lit(beta - hat) * rate[f]).alias(f"e_{f}") for f in fields)))
+        last = replaced(last, g)
+    error = g.agg(*(F.max(F.abs(e)).alias(e) for e in errors)).first()
+    return g.select(*AXES, *(F.col(f"s_{f}").alias(f) for f in fields)), max((x for x in error if x is not None), default=0.0)
 
 
 def run(grid: DataFrame, fields: tuple[str, ...], rhs: Rhs, steps: int, dt: float | Callable[[DataFrame], float], order: int = 3, t: float = 0.0, every: Mapping[int, Callable[[int, float, DataFrame], None]] | None = None) -> tuple[DataFrame, float]:
@@ -212,15 +229,21 @@ class Fluid:
                 out["d_ss"] = -C.u_dot_grad(d, u, "ss") + heat
             return out
 
-        return lambda g, t: C.select(g, spec, build, self.fields)
+        return lambda g, t: C.select(g, spec, build, tuple(c for c in g.columns if c not in AXES))
+
 
+def sink_accretion(spec: GridSpec, density: str, radial_velocity: str) -> Column:
+    """Aggregate: mass that flows inwards through the inner radial face in a unit of time, on spherical axes (x radius, y colatitude, z longitude)."""
+    r, theta = spec.position(0), spec.position(1)
+    area = r * r * F.sin(theta) * F.lit(float(spec.spacing[1] * spec.spacing[2]))
+    flux = F.col(density) * F.greatest(F.lit(0.0), -F.col(radial_velocity)) * area
+    return F.sum(F.when(F.col("x") == 0, flux).otherwise(0.0))
 
-def sink_mass(spec: GridSpec, density: str, radius: float) -> Column:
-    """Aggregate: mass within a radius of the centre."""
-    from .reduce import distance
 
-    volume = spec.spacing[0] * spec.spacing[1] * spec.spacing[2]
-    return F.sum(F.when(distance(spec) < radius, F.col(density)).otherwise(0.0)) * volume
+def sink_gravity(spec: GridSpec, mass: float, constant: float = 1.0) -> list[Column]:
+    """Acceleration towards a mass at the centre, by components."""
+    r = spec.position(0)
+    return [-F.lit(float(constant * mass)) / (r * r), F.lit(0.0), F.lit(0.0)]
 
 
 def walk(walkers: DataFrame, spec: GridSpec, steps: int, seed: int = 0, length: float = 1.0) -> DataFrame:

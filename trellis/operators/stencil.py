@@ -1,11 +1,13 @@
-"""Stencils: a table of taps {(dx, dy, dz): coefficient} reduced by sum or maximum around each cell.
+"""Stencils: a table of taps {(dx, dy, dz): coefficient} reduced by sum, maximum or sum of exponentials around each cell.
 
-Two strategies, chosen by the number of taps:
+A tap counts if there is a row at its place and the field isn't null there; NaN is a value like others and goes on. A cell is in
+the result if some tap of the pass finds a row; a stencil none of whose taps counts is null there. Two strategies give the
+same:
 
-* scatter: each cell sends its fields to the cells that read it, one aggregation brings them together. Pure Catalyst;
-  all stencils asked for share one pass, and the partial aggregation adds up neighbours that are on one partition.
 * blocks: cells are dealt to boxes, boundary layers are sent to the neighbouring boxes as well, and each box is computed
   with numpy slices. Rows move once, plus the layers, however many taps there are.
+* scatter: each cell sends its fields to the cells that read it, one aggregation brings them together. Pure Catalyst, but every
+  tap is a row of the shuffle, so it is for stencils of few taps only.
 """
 
 from __future__ import annotations
@@ -20,12 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..spec import AXES, GridSpec
 
 Tap = tuple[int, int, int]
-#: Taps from which boxes are used.
-MANY = 40
+#: Taps beyond which boxes are used; both strategies give the same.
+MANY = 4
+OPS = ("sum", "max", "expsum")
 
 
 @dataclass(frozen=True)
@@ -35,8 +39,8 @@ class Stencil:
 
     @classmethod
     def of(cls, taps: Mapping[Tap, float], op: str = "sum") -> Stencil:
-        if op not in ("sum", "max"):
-            raise ValueError("op is sum or max")
+        if op not in OPS:
+            raise ValueError(f"op is one of {', '.join(OPS)}")
         return cls(tuple(sorted((tuple(k), float(v)) for k, v in taps.items() if v or op == "max")), op)
 
     @property
@@ -63,7 +67,9 @@ class Stencil:
     def numpy(self, a: np.ndarray, axes: tuple[int, int, int] = (0, 1, 2)) -> np.ndarray:
         """On an array with periodic edges."""
         parts = [c * np.roll(a, tuple(-d for d in t), axes) for t, c in self.taps]
-        return sum(parts) if self.op == "sum" else np.maximum.reduce(parts)
+        if self.op == "expsum":
+            parts = [c * np.roll(np.exp(a), tuple(-d for d in t), axes) for t, c in self.taps]
+        return np.maximum.reduce(parts) if self.op == "max" else sum(parts)
 
 
 @cache
@@ -163,8 +169,26 @@ def binomial(radius: int = 1, axes: tuple[int, ...] = (0, 1, 2)) -> Stencil:
 
 
 def gaussian(radius: int = 3, sigma: float | None = None) -> Stencil:
-    s = sigma or radius / 2
-    return box(radius, lambda *t: float(np.exp(-sum(k * k for k in t) / (2 * s * s))))
+    """Gaussian weights over the box, normalised; the variance is radius - 1, so 2 at radius 3 and 4 at radius 5."""
+    variance = sigma * sigma if sigma else max(radius - 1, 0.5)
+    return box(radius, lambda *t: float(np.exp(-sum(k * k for k in t) / (2 * variance))))
+
+
+# Weights along each axis of the smoothing that shock viscosity uses, by accuracy.
+SMOOTH = {2: (9, 14, 9), 6: (1, 9, 45, 70, 45, 9, 1)}
+
+
+def smooth(accuracy: int = 6, axes: tuple[int, ...] = (0, 1, 2)) -> Stencil:
+    w = SMOOTH[2 if accuracy == 2 else 6]
+    r = len(w) // 2
+    return box(r, lambda *t: float(np.prod([w[r + t[a]] for a in axes])), axes=axes)
+
+
+def ball(radius: int, op: str = "max") -> Stencil:
+    """All neighbours whose distance is at most the radius."""
+    s = box(radius, op="max")
+    taps = {t: 1.0 for t, _ in s.taps if sum(k * k for k in t) <= radius * radius}
+    return Stencil.of(taps if op == "max" else {t: 1 / len(taps) for t in taps}, op)
 
 
 def local_max(radius: int = 1) -> Stencil:
@@ -213,8 +237,13 @@ def _wrapped(spec: GridSpec, axis: int, c: Column) -> Column:
     return F.pmod(c, F.lit(spec.n[axis])).cast("int") if spec.periodic[axis] and spec.active(axis) else c.cast("int")
 
 
+def _inside(spec, stencils):
+    """The stencils with the taps that stay in the plane of an axis of size 1."""
+    return {name: (Stencil(tuple((t, c) for t, c in s.taps if all(spec.active(a) or not t[a] for a in range(3))), s.op), f) for name, (s, f) in stencils.items()}
+
+
 def _scatter(grid, spec, stencils, keep):
-    stencils = {name: (Stencil(tuple((t, c) for t, c in s.taps if all(spec.active(a) or not t[a] for a in range(3))), s.op), f) for name, (s, f) in stencils.items()}
+    stencils = _inside(spec, stencils)
     taps = sorted({t for s, _ in stencils.values() for t, _ in s.taps} | ({(0, 0, 0)} if keep or not stencils else set()))
     fields = sorted({f for _, f in stencils.values()} | set(keep))
     tap = F.array(*(F.struct(F.lit(t[0]).alias("dx"), F.lit(t[1]).alias("dy"), F.lit(t[2]).alias("dz"), F.lit(i + 1).alias("tap")) for i, t in enumerate(taps)))
@@ -223,16 +252,13 @@ def _scatter(grid, spec, stencils, keep):
     sent = sent.select(*to, *fields, F.col("_t.tap").alias("_tap")).where(spec.inside())
     aggs = []
     for name, (s, f) in stencils.items():
-        at = dict(s.taps)
-        if s.op == "max":
-            c = F.element_at(F.array(*(F.lit(at[t]) if t in at else F.lit(None).cast("double") for t in taps)), F.col("_tap"))
-            aggs.append(F.max(c * F.col(f)).alias(name))
-        else:
-            c = F.element_at(F.array(*(F.lit(float(at.get(t, 0.0))) for t in taps)), F.col("_tap"))
-            aggs.append(F.sum(c * F.col(f)).alias(name))
+        at = dict(s.taps)  # no coefficient, no part in it: nothing times NaN would be NaN
+        c = F.element_at(F.array(*(F.lit(at[t]) if t in at else F.lit(None).cast("double") for t in taps)), F.col("_tap"))
+        v = F.col(f).cast("double")
+        aggs.append((F.max(c * v) if s.op == "max" else F.sum(c * (F.exp(v) if s.op == "expsum" else v))).alias(name))
     if keep:
         centre = taps.index((0, 0, 0)) + 1
-        aggs += [F.max(F.when(F.col("_tap") == centre, F.col(k))).alias(k) for k in keep if k not in stencils]
+        aggs += [F.first(F.when(F.col("_tap") == centre, F.col(k)), ignorenulls=True).alias(k) for k in keep if k not in stencils]
     return sent.groupBy(*AXES).agg(*aggs)
 
 
@@ -246,48 +272,65 @@ def _boxes(at: Column, n: int, reach: int, side: int) -> Column:
 
 
 def _blocks(grid, spec, stencils, keep, side: int = 32):
-    fields = sorted({f for _, f in stencils.values()} | set(keep))
+    kept = [k for k in keep if k not in stencils]
+    fields = sorted({f for _, f in stencils.values()} | set(kept))
     reach = [max((s.radius[a] for s, _ in stencils.values()), default=0) if spec.active(a) else 0 for a in range(3)]
-    stencils = {name: (Stencil(tuple((t, c) for t, c in s.taps if all(spec.active(a) or not t[a] for a in range(3))), s.op), f) for name, (s, f) in stencils.items()}
+    stencils = _inside(spec, stencils)
+    every = sorted({t for s, _ in stencils.values() for t, _ in s.taps} | ({(0, 0, 0)} if keep or not stencils else set()))
+    read = sorted({f for _, f in stencils.values()})
     d = grid.select(*AXES, *fields)
     for a, name in enumerate(AXES):  # to each box that has the cell, or has it in its layers
         n, r, per = spec.n[a], reach[a], spec.periodic[a] and spec.active(a)
         options = []
-        for shift in {0, n, -n} if per and r else {0}:
+        for shift in (0, n, -n) if per and r else (0,):
             at = F.col(name) + F.lit(shift)
             options.append(_boxes(at, n, r, side))
         d = d.withColumn("_o", F.explode(F.concat(*options))).withColumn(name, F.col("_o.at")).withColumn(f"_b{name}", F.col("_o.b")).drop("_o")
 
     def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
         box_ = [t.column(f"_b{a}")[0].as_py() for a in AXES]
         start = [b * side for b in box_]
         size = [min(side, n - s) for s, n in zip(start, spec.n)]
         at = tuple(t.column(a).to_numpy() - s + r for a, s, r in zip(AXES, start, reach))
         inner = tuple(slice(r, r + k) for r, k in zip(reach, size))
         shape = [k + 2 * r for k, r in zip(size, reach)]
-        data = {}
-        for f in fields:
-            data[f] = np.full(shape, np.nan)
-            data[f][at] = t.column(f).to_numpy(zero_copy_only=False)
+        place = np.full(shape, -1, np.int64)
+        place[at] = np.arange(len(t))
+        there = place >= 0
+        data, known = {}, {}
+        for f in read:
+            column = t.column(f).cast(pa.float64())
+            data[f], known[f] = np.zeros(shape), np.zeros(shape, bool)
+            known[f][at] = column.is_valid().to_numpy()
+            data[f][at] = column.fill_null(0.0).to_numpy()
+        moved = lambda array, tap: array[tuple(slice(i.start + o, i.stop + o) for i, o in zip(inner, tap))]
+        reached = np.zeros(size, bool)
+        for tap in every:
+            reached |= moved(there, tap)
         out = {}
         for name, (s, f) in stencils.items():
-            total = None
+            values = np.exp(data[f]) if s.op == "expsum" else data[f]
+            total, seen, full = np.zeros(size), np.zeros(size, bool), bool(known[f].all())
             for tap, c in s.taps:
-                part = data[f][tuple(slice(i.start + o, i.stop + o) for i, o in zip(inner, tap))]
+                part, has = c * moved(values, tap), moved(known[f], tap)
                 if s.op == "max":
-                    part = c * part
-                    total = part if total is None else np.fmax(total, part)
+                    larger = np.where(seen, np.maximum(total, part), part)
+                    total = larger if full else np.where(has, larger, total)
                 else:
-                    part = c * np.nan_to_num(part, nan=0.0) if not all(spec.periodic) else c * part
-                    total = part if total is None else total + part
-            out[name] = total if total is not None else np.zeros(size)
-        out |= {k: data[k][inner] for k in keep if k not in stencils}
-        keys = np.indices(size).reshape(3, -1)
+                    total += part if full else np.where(has, part, 0.0)
+                seen |= has
+            out[name] = pa.array(total[reached], mask=~seen[reached])
+        centre = place[inner][reached]
+        for k in kept:
+            out[k] = t.column(k).take(pa.array(centre, mask=centre < 0))
+        keys = np.indices(size).reshape(3, -1)[:, reached.ravel()]
         cols = {a: pa.array((k + s).astype(np.int32)) for a, k, s in zip(AXES, keys, start)}
-        return pa.table(cols | {k: pa.array(v.ravel()) for k, v in out.items()})
+        return pa.table(cols | {k: out[k] for k in names})
 
-    names = [*stencils, *(k for k in keep if k not in stencils)]
-    schema = "x int, y int, z int" + "".join(f", `{k}` double" for k in names)
+    names = [*stencils, *kept]
+    kinds = {f.name: f.dataType for f in grid.schema.fields}
+    schema = T.StructType([T.StructField(a, T.IntegerType()) for a in AXES] + [T.StructField(k, T.DoubleType() if k in stencils else kinds[k]) for k in names])
     return d.groupBy("_bx", "_by", "_bz").applyInArrow(run, schema)
 
 

@@ -220,9 +220,30 @@ for _r in (1, 2, 3):
     stencil_query(f"local_maximum_{_r}", {"m": (S.local_max(_r), "f")}, 1)
 
 
-@query("gaussian_smooth")
-def gaussian_smooth(spark, sf_dir):
-    return S.apply(line_grid(spark, sf_dir), LINES, {"s": (S.gaussian(3), "f")})
+def rounded_query(name: str, sql: str, run, columns: tuple[str, ...], digits: int = 6):
+    """Results that depend on the order of sums: both sides rounded; keys and other columns as they are."""
+    cut = lambda c: f"round({c}, {digits}) + 0.0 AS {c}" if c in columns else c
+
+    def rounded(spark, sf_dir):
+        d = run(spark, sf_dir)
+        return d.select(*((F.round(c, digits) + 0.0).alias(c) if c in columns else F.col(c) for c in d.columns))
+
+    names = {"x", "y", "z"}
+    keys = [k for k in AXES if k in names]
+    query(name, with_grid(f"SELECT {', '.join([*keys, *map(cut, columns)])} FROM ({sql})"))(rounded)
+
+
+for _r in (3, 5):
+    rounded_query("gaussian_smooth" if _r == 3 else "gaussian_smooth_5", taps_sql({"s": (S.gaussian(_r), "f")}), lambda spark, sf_dir, r=_r: S.apply(line_grid(spark, sf_dir), LINES, {"s": (S.gaussian(r), "f")}), ("s",))
+stencil_query("shock_smooth", {"s": (S.smooth(6), "f")}, 180**3)
+stencil_query("ball_maximum", {"m": (S.ball(3), "f")}, 1)
+
+
+@query("exponential_sum", with_grid(f"SELECT x, y, z, round(v, 6) + 0.0 AS s FROM ({taps_sql({'v': (S.box(1, op='sum'), 'e')}, source='(SELECT x, y, z, exp(g / 100.0) AS e FROM grid)')})"))
+def exponential_sum(spark, sf_dir):
+    s = S.Stencil.of(dict(S.box(1).taps), "expsum")
+    d = S.apply(line_grid(spark, sf_dir).select(*AXES, (F.col("g") / 100.0).alias("l")), LINES, {"s": (s, "l")})
+    return d.select(*AXES, (F.round("s", 6) + 0.0).alias("s"))
 
 
 def calculus_query(name: str, over: dict[str, tuple[S.Stencil, str]], den: int, columns: dict[str, str], build, keep: tuple[str, ...] = ()):
@@ -261,13 +282,40 @@ def _plain(build, keep=()):
     return lambda spark, sf_dir: C.select(line_grid(spark, sf_dir), LINES, build, keep)
 
 
-QUERIES["hessian"] = _plain(lambda d: {f"h{a}{b}": C.hessian(d, "f")[i][j] for i, a in enumerate(AXES) for j, b in enumerate(AXES) if j >= i})
-QUERIES["gradient_of_divergence"] = _plain(lambda d: dict(zip(("x_", "y_", "z_"), C.gradient_of_divergence(d, V))))
-QUERIES["curl_of_curl"] = _plain(lambda d: dict(zip(("x_", "y_", "z_"), C.curl_of_curl(d, V))))
-QUERIES["biharmonic"] = _plain(lambda d: {"b": C.biharmonic(d, "f")})
-QUERIES["upwind_advection"] = _plain(lambda d: {"adv": C.u_dot_grad_upwind(d, V, "f")}, V)
-QUERIES["shock_profile"] = lambda spark, sf_dir: C.shock(line_grid(spark, sf_dir), LINES, V)
-QUERIES["slope_limited_diffusion"] = lambda spark, sf_dir: C.slope_limited_diffusion(line_grid(spark, sf_dir), LINES, "f")
+_DD = {f"{f}{a}{b}": (S.central(i, 2, 6) if i == j else S.mixed(i, j), f) for f in V for i, a in enumerate(AXES) for j, b in enumerate(AXES) if j >= i}
+_PAIRS = [(i, j) for i in range(3) for j in range(i, 3)]
+_dd = lambda f, i, j: f"{f}{AXES[min(i, j)]}{AXES[max(i, j)]}"
+calculus_query("hessian", {k: v for k, v in _DD.items() if k[0] == "f"}, 720, {f"h{AXES[i]}{AXES[j]}": f"{_dd('f', i, j)} / 720.0" for i, j in _PAIRS}, lambda d: {f"h{AXES[i]}{AXES[j]}": C.hessian(d, "f")[i][j] / 720.0 for i, j in _PAIRS})
+_GD = [" + ".join(_dd(f, i, j) for j, f in enumerate(V)) for i in range(3)]
+_LV = [" + ".join(_dd(f, j, j) for j in range(3)) for f in V]
+calculus_query("gradient_of_divergence", _DD, 720, {f"{a}_": f"({_GD[i]}) / 720.0" for i, a in enumerate(AXES)}, lambda d: {f"{a}_": C.gradient_of_divergence(d, V)[i] / 720.0 for i, a in enumerate(AXES)})
+calculus_query("curl_of_curl", _DD, 720, {f"{a}_": f"(({_GD[i]}) - ({_LV[i]})) / 720.0" for i, a in enumerate(AXES)}, lambda d: {f"{a}_": C.curl_of_curl(d, V)[i] / 720.0 for i, a in enumerate(AXES)})
+_B4 = {f"q{a}": (S.central(i, 4, 6), "f") for i, a in enumerate(AXES)} | {f"p{k}": (S.crossed(o, 6), "f") for k, o in enumerate(((2, 2, 0), (2, 0, 2), (0, 2, 2)))}
+calculus_query("biharmonic", _B4, 32400, {"b": "(qx + qy + qz + 2 * (p0 + p1 + p2)) / 32400.0"}, lambda d: {"b": C.biharmonic(d, "f") / 32400.0})
+_UP = {f"f{a}": (S.central(i, 1, 6), "f") for i, a in enumerate(AXES)} | {f"u{a}": (S.upwind_dissipation(i), "f") for i, a in enumerate(AXES)}
+calculus_query("upwind_advection", _UP, 60, {"adv": "(f * fx + g * fy + h * fz - abs(f) * ux - abs(g) * uy - abs(h) * uz) / 60.0"}, lambda d: {"adv": C.u_dot_grad_upwind(d, V, "f") / 60.0}, V)
+_D1H = {k: v for k, v in _D1.items()}
+calculus_query("matrix_divergence", _D1H, 60, {f"d{a}": "(" + " + ".join(f"{f}{b}" for f, b in zip(r, AXES)) + ") / 60.0" for a, r in zip(AXES, ("fgh", "ghf", "hfg"))}, lambda d: {f"d{a}": c / 60.0 for a, c in zip(AXES, C.matrix_divergence(d, (("f", "g", "h"), ("g", "h", "f"), ("h", "f", "g"))))})
+calculus_query("matrix_curl", _D1H, 60, {f"c{i}{j}": f"({m[i][(j + 2) % 3]}{AXES[(j + 1) % 3]} - {m[i][(j + 1) % 3]}{AXES[(j + 2) % 3]}) / 60.0" for m in [("fgh", "ghf", "hfg")] for i in range(3) for j in range(3)}, lambda d: {f"c{i}{j}": C.matrix_curl(d, (("f", "g", "h"), ("g", "h", "f"), ("h", "f", "g")))[i][j] / 60.0 for i in range(3) for j in range(3)})
+_CONV = f"SELECT x, y, z, greatest(-(fx + gy + hz), CAST(0 AS DOUBLE)) AS c FROM ({taps_sql({k: (whole(s, 60), f) for k, (s, f) in _D1.items()})})"
+_PEAK = taps_sql({"m": (S.ball(3), "c")}, source=f"({_CONV})")
+rounded_query("shock_profile", f"SELECT x, y, z, v / {60.0 * 180**3} AS shock FROM ({taps_sql({'v': (whole(S.smooth(6), 180**3), 'm')}, source=f'({_PEAK})')})", lambda spark, sf_dir: C.shock(line_grid(spark, sf_dir), LINES, V), ("shock",))
+_NEAR = {f"{n}{a}{'mp'[k > 0]}{abs(k)}": (S.Stencil.of({S._on(i, k): 1.0}), c) for n, c, ks in (("v", "f", (-2, -1, 1, 2)), ("c", "g", (-1, 1))) for i, a in enumerate(AXES) for k in ks}
+
+
+def _minmod_sql(a: str, b: str) -> str:
+    return f"(CASE WHEN ({a}) * ({b}) <= 0 THEN 0.0 WHEN abs({a}) < abs({b}) THEN {a} ELSE {b} END)"
+
+
+def _face_sql(a: str, side: int) -> str:
+    at = lambda k: f"v{a}{'mp'[k > 0]}{abs(k)}" if k else "f"
+    slope = lambda k: _minmod_sql(f"{at(k)} - {at(k - 1)}", f"{at(k + 1)} - {at(k)}") + " / 2"
+    lo, hi = (0, 1) if side > 0 else (-1, 0)
+    jump, across = f"(({at(hi)} - {slope(hi)}) - ({at(lo)} + {slope(lo)}))", f"({at(hi)} - {at(lo)})"
+    return f"((g + c{a}{'p' if side > 0 else 'm'}1) / 4 * (CASE WHEN {jump} * {across} > 0 THEN pow(least(1.0, 2 * {jump} / {across}), 1.5) ELSE 0.0 END) * {jump})"
+
+
+rounded_query("slope_limited_diffusion", f"SELECT x, y, z, {' + '.join(f'({_face_sql(a, 1)} - {_face_sql(a, -1)})' for a in AXES)} AS diffusion FROM ({taps_sql(_NEAR, ('f', 'g'))})", lambda spark, sf_dir: C.slope_limited_diffusion(line_grid(spark, sf_dir), LINES, "f", "g", 2.0, 1.5), ("diffusion",))
 _OPEN = GridSpec(LINES.n, periodic=(False, False, False))
 _E = SIDE - 1
 
@@ -296,7 +344,14 @@ def boundary_periodic(spark, sf_dir):
     return B.extend(line_grid(spark, sf_dir), LINES, {"f": B.Condition("periodic")}, 0, 3)
 
 
-QUERIES["boundary_one_sided"] = lambda spark, sf_dir: B.extend(line_grid(spark, sf_dir), _OPEN, {"f": B.Condition("one_sided")}, 2, 3)
+_OUT = ", ".join(f"({s * (d + 1) + (0 if s < 0 else _E)}, {(0 if s < 0 else _E) - s * k}, {w})" for s in (-1, 1) for d, row in enumerate(B._continuation(3)) for k, w in enumerate(row))
+
+
+@query("boundary_one_sided", with_grid(f"SELECT x, y, z, f FROM grid UNION ALL SELECT x, y, CAST(ghost AS INTEGER) AS z, sum(f * CAST(w AS DOUBLE)) AS f FROM grid JOIN (VALUES {_OUT}) AS o(ghost, cell, w) ON grid.z = o.cell GROUP BY 1, 2, 3"))
+def boundary_one_sided(spark, sf_dir):
+    return B.extend(line_grid(spark, sf_dir), _OPEN, {"f": B.Condition("one_sided")}, 2, 3)
+
+
 QUERIES["boundary_shear"] = lambda spark, sf_dir: B.shear_shift(line_grid(spark, sf_dir), LINES, "f", 2.25, 3)
 
 
@@ -328,8 +383,37 @@ def ray_recurrence(spark, sf_dir):
     return ray.recurrence(line_grid(spark, sf_dir), (1, 1, 1), F.lit(0.5), F.col("f"), "q").select(*AXES, "q")
 
 
-QUERIES["ray_radiation"] = lambda spark, sf_dir: ray.radiation(line_grid(spark, sf_dir).withColumn("chi", F.col("g") / 16), LINES, (0, 0, 1), "chi", "f", "q").select(*AXES, "q")
-QUERIES["ray_periodic"] = lambda spark, sf_dir: ray.closed(line_grid(spark, sf_dir).withColumns({"a": F.lit(0.5), "b": F.col("f")}), 0, 1, "a", "b", "q").select(*AXES, "q")
+_RAYS = """p AS (
+  SELECT *, coalesce(lag(chi) OVER w, chi) AS cm, coalesce(lead(chi) OVER w, chi) AS cp, coalesce(lag(f) OVER w, f) AS sm, coalesce(lead(f) OVER w, f) AS sp
+  FROM (SELECT *, g / 64 AS chi FROM grid) WINDOW w AS (PARTITION BY x, y ORDER BY z)
+), d AS (
+  SELECT *, greatest(sqrt(cm * chi), 5 * 2.220446049250313e-16) AS m, greatest(sqrt(cp * chi), 5 * 2.220446049250313e-16) AS p FROM p
+), e AS (
+  SELECT *, ((sp - f) / p * m + (f - sm) / m * p) / (m + p) AS s1, 2.0 * ((sp - f) / p - (f - sm) / m) / (m + p) AS s2, m * (1 - 0.5 * m * (1 - m / 3)) AS thin FROM d
+), c AS (
+  SELECT x, y, z, m, CASE WHEN m < 0.0001953125 THEN 1 - thin ELSE exp(-m) END AS a,
+    -s1 * (CASE WHEN m < 0.0001953125 THEN thin ELSE 1 - exp(-m) END) - s2 * (CASE WHEN m < 0.0001953125 THEN -(m * m) * (0.5 - m / 3) ELSE exp(-m) * (1 + m) - 1 END) AS b FROM e
+), r AS (
+  SELECT x, y, z, b AS q, m AS tau FROM c WHERE z = 0
+  UNION ALL SELECT c.x, c.y, c.z, c.a * r.q + c.b AS q, r.tau + c.m AS tau FROM r JOIN c ON c.x = r.x AND c.y = r.y AND c.z = r.z + 1
+)"""
+
+
+def _radiation(spark, sf_dir):
+    g = line_grid(spark, sf_dir).withColumn("chi", F.col("g") / 64)
+    return ray.radiation(g, LINES, (0, 0, 1), "chi", "f", "q").select(*AXES, (F.round("q", 4) + 0.0).alias("q"), F.round("tau", 6).alias("tau"), (F.round(ray.extrinsic(F.col("q"), F.lit(100.0), F.col("tau")), 4) + 0.0).alias("lit"))
+
+
+query("ray_radiation", f"WITH RECURSIVE {GRID}, {_RAYS} SELECT x, y, z, round(q, 4) + 0.0 AS q, round(tau, 6) AS tau, round(q + 100.0 * exp(-tau), 4) + 0.0 AS lit FROM r")(_radiation)
+
+
+@query("ray_optical_depth", with_grid("SELECT x, y, z, round(sum(sqrt(g * before)) OVER (PARTITION BY x, y ORDER BY z), 6) AS tau FROM (SELECT *, coalesce(lag(g) OVER (PARTITION BY x, y ORDER BY z), g) AS before FROM grid)"))
+def ray_optical_depth(spark, sf_dir):
+    d = ray.optical_depth(line_grid(spark, sf_dir), (0, 0, 1), "g", 1.0, "tau")
+    return d.select(*AXES, F.round("tau", 6).alias("tau"))
+
+
+rounded_query("ray_periodic", f"SELECT a.x, a.y, a.z, sum(b.f * pow(-0.5, (a.x - b.x + {SIDE}) % {SIDE})) / (1 - pow(-0.5, {SIDE})) AS q FROM grid a JOIN grid b ON a.y = b.y AND a.z = b.z GROUP BY 1, 2, 3", lambda spark, sf_dir: ray.closed(line_grid(spark, sf_dir).withColumns({"a": F.lit(-0.5), "b": F.col("f")}), 0, 1, "a", "b", "q").select(*AXES, "q"), ("q",))
 _W = {-1: 0.25, 0: 0.5, 1: 0.25}
 _REST = S.Stencil.of({(i, j, k): _W[i] * _W[j] * _W[k] for i in _W for j in _W for k in _W})
 
@@ -348,8 +432,20 @@ def prolong_trilinear(spark, sf_dir):
     return transfer.prolong(line_grid(spark, sf_dir), GridSpec((32, 32, 32)), ("f",))
 
 
-QUERIES["restrict_even"] = lambda spark, sf_dir: transfer.restrict(line_grid(spark, sf_dir), LINES, ("f",), even=True)
-QUERIES["prolong_even"] = lambda spark, sf_dir: transfer.prolong(line_grid(spark, sf_dir), GridSpec((32, 32, 32)), ("f",), even=True)
+_WE = {-1: 0.125, 0: 0.375, 1: 0.375, 2: 0.125}
+_REST_EVEN = S.Stencil.of({(i, j, k): _WE[i] * _WE[j] * _WE[k] for i in _WE for j in _WE for k in _WE})
+_HALF_EVEN = {-1: 0.25, 0: 0.75, 1: 0.75, 2: 0.25}
+_PRO_EVEN = ", ".join(f"({i}, {j}, {k}, {_HALF_EVEN[i] * _HALF_EVEN[j] * _HALF_EVEN[k]!r})" for i in _HALF_EVEN for j in _HALF_EVEN for k in _HALF_EVEN)
+
+
+@query("restrict_even", with_grid(f"SELECT x // 2 AS x, y // 2 AS y, z // 2 AS z, v AS f FROM ({taps_sql({'v': (_REST_EVEN, 'f')})}) WHERE x % 2 = 0 AND y % 2 = 0 AND z % 2 = 0"))
+def restrict_even(spark, sf_dir):
+    return transfer.restrict(line_grid(spark, sf_dir), LINES, ("f",), even=True)
+
+
+@query("prolong_even", with_grid(f"SELECT CAST((2 * x + dx + 32) % 32 AS INTEGER) AS x, CAST((2 * y + dy + 32) % 32 AS INTEGER) AS y, CAST((2 * z + dz + 32) % 32 AS INTEGER) AS z, sum(f * CAST(c AS DOUBLE)) AS f FROM grid, (VALUES {_PRO_EVEN}) AS taps(dx, dy, dz, c) GROUP BY 1, 2, 3"))
+def prolong_even(spark, sf_dir):
+    return transfer.prolong(line_grid(spark, sf_dir), GridSpec((32, 32, 32)), ("f",), even=True)
 
 
 @query("jacobi_sweep", with_grid(f"SELECT x, y, z, f + 1.0 * ((g - n) / -6.0 - f) AS f, g FROM ({taps_sql({'n': (S.Stencil.of({t: c for t, c in S.laplace(2).taps if any(t)}), 'f')}, ('g', 'f'))})"))
@@ -363,7 +459,11 @@ def _centred(spark, sf_dir):
     return g.select(*AXES, F.lit(0.0).alias("u"), (F.col("f") - mean).alias("b"))
 
 
-QUERIES["red_black_sor"] = lambda spark, sf_dir: solvers.red_black(_centred(spark, sf_dir), LINES, S.laplace(2), "u", "b", 2, 1.5)
+_AROUND = S.Stencil.of({t: c for t, c in S.laplace(2).taps if any(t)})
+_SOR = "(SELECT x, y, z, CAST(0 AS DOUBLE) AS u, f - (SELECT avg(f) FROM grid) AS b FROM grid)"
+for _colour in (0, 1, 0, 1):
+    _SOR = f"(SELECT x, y, z, CASE WHEN (x + y + z) % 2 = {_colour} THEN u + 1.5 * ((b - n) / -6.0 - u) ELSE u END AS u, b FROM ({taps_sql({'n': (_AROUND, 'u')}, ('u', 'b'), source=_SOR)}))"
+rounded_query("red_black_sor", _SOR, lambda spark, sf_dir: solvers.red_black(_centred(spark, sf_dir), LINES, S.laplace(2), "u", "b", 2, 1.5), ("u", "b"))
 #: Residual norm in parts of the right side's norm at which the Krylov solvers end.
 RELATIVE = 1e-6
 
@@ -379,9 +479,24 @@ def _krylov(solve, op):
 QUERIES["conjugate_gradients"] = _krylov(solvers.cg, S.laplace(2).scaled(-1))
 QUERIES["bicgstab"] = _krylov(solvers.bicgstab, S.laplace(2))
 QUERIES["multigrid_v_cycle"] = lambda spark, sf_dir: solvers.v_cycle(_centred(spark, sf_dir), LINES, "u", "b", 1, 1, 512)
-QUERIES["fft_forward"] = lambda spark, sf_dir: spectral.forward(line_grid(spark, sf_dir), LINES, "f")
-QUERIES["fft_half_spectrum"] = lambda spark, sf_dir: spectral.half(spectral.forward(line_grid(spark, sf_dir), LINES, "f"), LINES)
-QUERIES["fft_planar"] = lambda spark, sf_dir: spectral.forward(line_grid(spark, sf_dir), LINES, "f", (0, 1))
+_PI = 3.141592653589793
+
+
+def _dft_sql(source: str, axes: tuple[int, ...], inverse: bool = False, re: str = "f", im: str = "CAST(0 AS DOUBLE)") -> str:
+    """A transform as one axis after the other, each a sum over the line; forward divided by the length of the line."""
+    out = f"(SELECT x, y, z, {re} AS re, {im} AS im FROM {source})"
+    for a in axes:
+        at = ", ".join(f"CAST(k AS INTEGER) AS {n}" if i == a else n for i, n in enumerate(AXES))
+        turn = f"{2 * _PI / SIDE!r} * ((k * {AXES[a]}) % {SIDE})"
+        sign, by = (1, "") if inverse else (-1, f" / {float(SIDE)}")
+        out = f"(SELECT {at}, sum(re * cos({turn}) - ({sign}) * im * sin({turn})){by} AS re, sum(im * cos({turn}) + ({sign}) * re * sin({turn})){by} AS im FROM {out}, (SELECT range AS k FROM range({SIDE})) GROUP BY {', '.join('k' if i == a else n for i, n in enumerate(AXES))})"
+    return out
+
+
+_waves = lambda spark, sf_dir, axes=(0, 1, 2): spectral.forward(line_grid(spark, sf_dir), LINES, "f", axes)
+rounded_query("fft_forward", _dft_sql("grid", (0, 1, 2)), _waves, ("re", "im"))
+rounded_query("fft_half_spectrum", f"SELECT * FROM {_dft_sql('grid', (0, 1, 2))} WHERE x <= {SIDE // 2}", lambda spark, sf_dir: spectral.half(_waves(spark, sf_dir), LINES), ("re", "im"))
+rounded_query("fft_planar", _dft_sql("grid", (0, 1)), lambda spark, sf_dir: _waves(spark, sf_dir, (0, 1)), ("re", "im"))
 
 
 @query("fft_round_trip", with_grid("SELECT x, y, z, f FROM grid"))
@@ -390,16 +505,36 @@ def fft_round_trip(spark, sf_dir):
     return d.select(*AXES, (F.round("f", 6) + 0.0).alias("f"))
 
 
-QUERIES["poisson_in_wave_space"] = lambda spark, sf_dir: spectral.poisson(line_grid(spark, sf_dir), LINES, "f", "u")
-QUERIES["diffusion_in_wave_space"] = lambda spark, sf_dir: spectral.diffuse(line_grid(spark, sf_dir), LINES, "f", 0.1, 0.5, "f")
+_K = {a: f"({2 * _PI / SIDE!r} * (CASE WHEN {a} * 2 <= {SIDE} THEN {a} ELSE {a} - {SIDE} END))" for a in AXES}
+_K2 = " + ".join(f"{_K[a]} * {_K[a]}" for a in AXES)
+
+
+def _wave_sql(by: str, out: str, axes: tuple[int, ...] = (0, 1, 2), source: str = "grid") -> str:
+    scaled = f"(SELECT x, y, z, re * ({by}) AS re, im * ({by}) AS im FROM {_dft_sql(source, axes)})"
+    return f"SELECT x, y, z, re AS {out} FROM {_dft_sql(scaled, axes, True, 're', 'im')}"
+
+
+rounded_query("poisson_in_wave_space", _wave_sql(f"CASE WHEN x = 0 AND y = 0 AND z = 0 THEN 0.0 ELSE -1 / ({_K2}) END", "u"), lambda spark, sf_dir: spectral.poisson(line_grid(spark, sf_dir), LINES, "f", "u"), ("u",))
+rounded_query("diffusion_in_wave_space", _wave_sql(f"exp(-0.05 * ({_K2}))", "f"), lambda spark, sf_dir: spectral.diffuse(line_grid(spark, sf_dir), LINES, "f", 0.1, 0.5, "f"), ("f",))
 
 
 def _diffusion(spec):
-    return lambda g, t: S.apply(g, spec, {"d_f": (S.laplace(6), "f")}, ("f",))
+    return lambda g, t: S.apply(g, spec, {"d_f": (S.laplace(6), "f")}, tuple(c for c in g.columns if c not in AXES))
 
 
-QUERIES["runge_kutta_3_step"] = lambda spark, sf_dir: integrate.step(line_grid(spark, sf_dir), ("f",), _diffusion(LINES), 0.0, 0.05)
-QUERIES["runge_kutta_fehlberg_step"] = lambda spark, sf_dir: integrate.fehlberg(line_grid(spark, sf_dir), ("f",), _diffusion(LINES), 0.0, 0.05)[0]
+def _low_storage_sql(source: str, order: int, dt: float) -> str:
+    out = f"(SELECT x, y, z, f, CAST(0 AS DOUBLE) AS w FROM {source})"
+    for alpha, beta in zip(*integrate.LOW_STORAGE[order]):
+        w = f"({alpha!r} * w + {dt!r} * d / 180.0)"
+        out = f"(SELECT x, y, z, f + {beta!r} * {w} AS f, {w} AS w FROM ({taps_sql({'d': (whole(S.laplace(6), 180), 'f')}, ('f', 'w'), source=out)}))"
+    return out
+
+
+_RKF4 = "(SELECT x, y, z, f, f AS s FROM grid)"
+for _al, _be in zip(integrate.RKF4_ALPHA, integrate.RKF4_BETA):
+    _RKF4 = f"(SELECT x, y, z, s + {_al!r} * (0.05 * d / 180.0) AS f, s + {_be!r} * (0.05 * d / 180.0) AS s FROM ({taps_sql({'d': (whole(S.laplace(6), 180), 'f')}, ('f', 's'), source=_RKF4)}))"
+rounded_query("runge_kutta_3_step", _low_storage_sql("grid", 3, 0.05), lambda spark, sf_dir: integrate.step(line_grid(spark, sf_dir), ("f",), _diffusion(LINES), 0.0, 0.05), ("f",))
+rounded_query("runge_kutta_4_step", f"SELECT x, y, z, s AS f FROM {_RKF4}", lambda spark, sf_dir: integrate.rkf4(line_grid(spark, sf_dir), ("f",), _diffusion(LINES), 0.0, 0.05)[0], ("f",))
 
 
 @query("time_step_limit", with_grid("SELECT 0.4 * 1.0 / (max(sqrt(f * f + g * g + h * h) + 0.0)) AS dt FROM grid"))
@@ -413,9 +548,13 @@ def diagnostics_row(spark, sf_dir):
     return integrate.diagnostics(line_grid(spark, sf_dir), LINES, ("f",), 3, 0.5)
 
 
-@query("sink_mass", with_grid(f"SELECT sum(CASE WHEN sqrt({_D2}) < 4 THEN f ELSE 0 END) AS mass FROM grid"))
-def sink_mass(spark, sf_dir):
-    return line_grid(spark, sf_dir).agg(integrate.sink_mass(LINES, "f", 4.0).alias("mass"))
+_BALL = GridSpec((SIDE, SIDE, SIDE), length=(1.5, 1.2, 6.283185307179586), periodic=(False, False, True), origin=(0.5, 0.9, 0.0))
+
+
+@query("sink_accretion", with_grid(f"SELECT round(sum(f * greatest(0.0, -(g - 20)) * 0.25 * sin(0.9 + y * {_BALL.spacing[1]!r}) * {_BALL.spacing[1] * _BALL.spacing[2]!r}), 6) AS rate FROM grid WHERE x = 0"))
+def sink_accretion(spark, sf_dir):
+    d = line_grid(spark, sf_dir).withColumn("ur", F.col("g") - 20).agg(integrate.sink_accretion(_BALL, "f", "ur").alias("rate"))
+    return d.select(F.round("rate", 6).alias("rate"))
 
 
 _CUBE = GridSpec((16, 16, 16), length=(6.283185307179586,) * 3)
@@ -494,11 +633,16 @@ def lookup_table(spark, sf_dir):
     return line_grid(spark, sf_dir).where(F.col("x") + F.col("y") < SIDE).select(*AXES, (F.col("f") * F.element_at(table, F.col("x") % 4 + 1)).alias("f"))
 
 
-QUERIES["spherical_derivatives"] = _plain(lambda d: C.spherical(d, "f", F.col("x") + 1.0, (F.col("y") + 1.0) / 20))
-QUERIES["stretched_axis"] = _plain(lambda d: dict(zip(("first", "second"), C.stretched(d, "f", 2, 1 / (1 + 0.1 * F.col("z")), -0.1 / (1 + 0.1 * F.col("z")) ** 3))))
-QUERIES["potential_field"] = lambda spark, sf_dir: spectral.potential(R.band(line_grid(spark, sf_dir), z=(0, 1)), LINES, "f", 1.5, "f")
+_SD = {f"d{o}{a}": (S.central(i, o, 6), "f") for o in (1, 2) for i, a in enumerate(AXES)}
+_R, _TH = "(x + 1.0)", "((y + 1.0) / 20)"
+rounded_query("spherical_derivatives", f"SELECT x, y, z, d1x AS grad_r, d1y / {_R} AS grad_theta, d1z / ({_R} * sin({_TH})) AS grad_phi, d2x + 2 * d1x / {_R} + (d2y + cos({_TH}) / sin({_TH}) * d1y) / ({_R} * {_R}) + d2z / ({_R} * sin({_TH}) * {_R} * sin({_TH})) AS laplace FROM ({taps_sql(_SD)})", _plain(lambda d: C.spherical(d, "f", F.col("x") + 1.0, (F.col("y") + 1.0) / 20)), ("grad_r", "grad_theta", "grad_phi", "laplace"), 5)
+rounded_query("cylindrical_derivatives", f"SELECT x, y, z, d1x AS grad_r, d1y / {_R} AS grad_phi, d1z AS grad_z, d2x + d1x / {_R} + d2y / ({_R} * {_R}) + d2z AS laplace FROM ({taps_sql(_SD)})", _plain(lambda d: C.cylindrical(d, "f", F.col("x") + 1.0)), ("grad_r", "grad_phi", "grad_z", "laplace"), 5)
+rounded_query("spherical_divergence_and_curl", f"SELECT x, y, z, fx + 2 * f / {_R} + (gy + cos({_TH}) / sin({_TH}) * g) / {_R} + hz / ({_R} * sin({_TH})) AS div, (hy + cos({_TH}) / sin({_TH}) * h) / {_R} - gz / ({_R} * sin({_TH})) AS curl_r, fz / ({_R} * sin({_TH})) - h / {_R} - hx AS curl_theta, gx + g / {_R} - fy / {_R} AS curl_phi FROM ({taps_sql(_D1, V)})", _plain(lambda d: C.spherical_vector(d, V, F.col("x") + 1.0, (F.col("y") + 1.0) / 20), V), ("div", "curl_r", "curl_theta", "curl_phi"), 5)
+_ST = "(1 / (1 + 0.1 * z))"
+rounded_query("stretched_axis", f"SELECT x, y, z, d1z * {_ST} AS first, d2z * {_ST} * {_ST} + d1z * (-0.1 / pow(1 + 0.1 * z, 3)) AS second FROM ({taps_sql(_SD)})", _plain(lambda d: dict(zip(("first", "second"), C.stretched(d, "f", 2, 1 / (1 + 0.1 * F.col("z")), -0.1 / (1 + 0.1 * F.col("z")) ** 3)))), ("first", "second"))
+rounded_query("potential_field", _wave_sql(f"exp(-1.5 * sqrt({_K['x']} * {_K['x']} + {_K['y']} * {_K['y']}))", "f", (0, 1), "(SELECT * FROM grid WHERE z = 0)"), lambda spark, sf_dir: spectral.potential(R.band(line_grid(spark, sf_dir), z=(0, 1)), LINES, "f", 1.5, "f"), ("f",))
 QUERIES["multipole_potential"] = lambda spark, sf_dir: harmonics.potential(line_grid(spark, sf_dir), LINES, harmonics.moments(line_grid(spark, sf_dir), LINES, "f", 2), 2, "u").select(*AXES, "u")
-QUERIES["diffusion_time_loop"] = lambda spark, sf_dir: integrate.run(line_grid(spark, sf_dir), ("f",), _diffusion(LINES), 2, 0.05, 2)[0]
+rounded_query("diffusion_time_loop", _low_storage_sql(_low_storage_sql("grid", 2, 0.05), 2, 0.05), lambda spark, sf_dir: integrate.run(line_grid(spark, sf_dir), ("f",), _diffusion(LINES), 2, 0.05, 2)[0], ("f",))
 
 
 def _moving(spark, sf_dir):

@@ -62,6 +62,7 @@ class Steps:
         for k in range(times):
             for name, kern, inputs in self.calls:
                 if name == "reduce":
+                    grid = settled(grid)  # else the kernels before it would run once for the scalars and again for the grid
                     self.results |= grid.agg(*(c.alias(n) for n, c in inputs.items())).first().asDict()
                     continue
                 given = {a: self.results.get(v, v) if isinstance(v, str) else v for a, v in inputs.items()}

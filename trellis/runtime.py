@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -26,6 +28,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 def settled(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again. For loops: the plan stays small and no lost executor undoes the loop."""
-    path = f"{shared_dir(df.sparkSession)}/grid-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{_scratch(spark.sparkContext.applicationId, shared_dir(spark))}/grid-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def replaced(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Removes a loop's settled state once the next one, which doesn't read it, is written. Returns the new one."""
+    if old is not None:
+        _remove(old.sparkSession, old._settled_at)
+    return new
+
+
+@functools.cache
+def _scratch(application: str, shared: str) -> str:
+    """This application's part of the shared folder; it goes when the driver's Python ends."""
+    path = f"{shared}/trellis-grid-{application}"
+    atexit.register(lambda: _remove(SparkSession.getActiveSession(), path))
+    return path
+
+
+def _remove(spark: SparkSession | None, path: str) -> None:
+    if spark is None:
+        return
+    with contextlib.suppress(Exception):  # what can't be removed does no harm
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
