@@ -220,17 +220,17 @@ for _r in (1, 2, 3):
     stencil_query(f"local_maximum_{_r}", {"m": (S.local_max(_r), "f")}, 1)
 
 
+#: Added before rounding: binary fractions lie on ties, where the last bit would decide.
+OFF_TIES = 3.1e-8
+
+
 def rounded_query(name: str, sql: str, run, columns: tuple[str, ...], digits: int = 6):
-    """Results that depend on the order of sums: both sides rounded; keys and other columns as they are."""
-    cut = lambda c: f"round({c}, {digits}) + 0.0 AS {c}" if c in columns else c
+    """Results that depend on the order of sums: keys as they are, the columns rounded on both sides."""
+    cols = ", ".join(f"round({c} + {OFF_TIES}, {digits}) + 0.0 AS {c}" for c in columns)
 
+    @query(name, with_grid(f"SELECT x, y, z, {cols} FROM ({sql})"))
     def rounded(spark, sf_dir):
-        d = run(spark, sf_dir)
-        return d.select(*((F.round(c, digits) + 0.0).alias(c) if c in columns else F.col(c) for c in d.columns))
-
-    names = {"x", "y", "z"}
-    keys = [k for k in AXES if k in names]
-    query(name, with_grid(f"SELECT {', '.join([*keys, *map(cut, columns)])} FROM ({sql})"))(rounded)
+        return run(spark, sf_dir).select(*AXES, *((F.round(F.col(c) + F.lit(OFF_TIES), digits) + 0.0).alias(c) for c in columns))
 
 
 for _r in (3, 5):
@@ -347,7 +347,7 @@ def boundary_periodic(spark, sf_dir):
 _OUT = ", ".join(f"({s * (d + 1) + (0 if s < 0 else _E)}, {(0 if s < 0 else _E) - s * k}, {w})" for s in (-1, 1) for d, row in enumerate(B._continuation(3)) for k, w in enumerate(row))
 
 
-@query("boundary_one_sided", with_grid(f"SELECT x, y, z, f FROM grid UNION ALL SELECT x, y, CAST(ghost AS INTEGER) AS z, sum(f * CAST(w AS DOUBLE)) AS f FROM grid JOIN (VALUES {_OUT}) AS o(ghost, cell, w) ON grid.z = o.cell GROUP BY 1, 2, 3"))
+@query("boundary_one_sided", with_grid(f"SELECT x, y, z, f FROM grid UNION ALL SELECT x, y, CAST(ghost AS INTEGER) AS z, sum(f * CAST(weight AS DOUBLE)) AS f FROM grid JOIN (VALUES {_OUT}) AS o(ghost, cell, weight) ON grid.z = o.cell GROUP BY 1, 2, 3"))
 def boundary_one_sided(spark, sf_dir):
     return B.extend(line_grid(spark, sf_dir), _OPEN, {"f": B.Condition("one_sided")}, 2, 3)
 
@@ -385,7 +385,7 @@ def ray_recurrence(spark, sf_dir):
 
 _RAYS = """p AS (
   SELECT *, coalesce(lag(chi) OVER w, chi) AS cm, coalesce(lead(chi) OVER w, chi) AS cp, coalesce(lag(f) OVER w, f) AS sm, coalesce(lead(f) OVER w, f) AS sp
-  FROM (SELECT *, g / 64 AS chi FROM grid) WINDOW w AS (PARTITION BY x, y ORDER BY z)
+  FROM (SELECT *, (g + 1) / 64 AS chi FROM grid) WINDOW w AS (PARTITION BY x, y ORDER BY z)
 ), d AS (
   SELECT *, greatest(sqrt(cm * chi), 5 * 2.220446049250313e-16) AS m, greatest(sqrt(cp * chi), 5 * 2.220446049250313e-16) AS p FROM p
 ), e AS (
@@ -400,7 +400,7 @@ _RAYS = """p AS (
 
 
 def _radiation(spark, sf_dir):
-    g = line_grid(spark, sf_dir).withColumn("chi", F.col("g") / 64)
+    g = line_grid(spark, sf_dir).withColumn("chi", (F.col("g") + 1) / 64)
     return ray.radiation(g, LINES, (0, 0, 1), "chi", "f", "q").select(*AXES, (F.round("q", 4) + 0.0).alias("q"), F.round("tau", 6).alias("tau"), (F.round(ray.extrinsic(F.col("q"), F.lit(100.0), F.col("tau")), 4) + 0.0).alias("lit"))
 
 
