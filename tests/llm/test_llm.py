@@ -302,6 +302,21 @@ def test_embeddings(spark):
     assert embeddings.near_dedup(d.limit(0)).count() == 0
 
 
+def test_embeddings_near_the_threshold(spark):
+    """10,000 vectors, 1,500 pairs of cosines between 0.90 and 0.93, where hashing finds it hardest, and 300 just below."""
+    rng = np.random.default_rng(21)
+    n, d, pairs = 10_000, 32, 1800
+    v = rng.standard_normal((n, d))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    for k in range(pairs):
+        c = rng.uniform(0.9005, 0.93) if k < 1500 else rng.uniform(0.87, 0.899)
+        o = v[5000 + k] - (v[5000 + k] @ v[k]) * v[k]
+        v[5000 + k] = c * v[k] + np.sqrt(1 - c * c) * o / np.linalg.norm(o)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_dedup(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect()}
+    found = sum(got[5000 + k] == (1, k) for k in range(1500))
+    assert found >= 0.9 * 1500 and sum(x[0] for x in got.values()) == 2 * found, found
+
+
 # --- 7
 
 
