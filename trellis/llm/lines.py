@@ -1,15 +1,9 @@
-"""Line dedup: suffixes of line-ID sequences, classed by distributed prefix doubling.
+"""Line dedup: a suffix array over documents' sequences of line IDs, by distributed prefix doubling (`suffix_array`).
 
-A line's ID is the hash of its text. Suffixes of a document's sequence of IDs are classed by their first 1, 2, 4, ...
-lines: the class at depth 2k joins a suffix's class at depth k with that of the suffix k lines further on. A class that has
-two suffixes or more is an interval of the suffix array whose longest common prefix is that depth or more; suffixes alone
-in their class have no repeat that deep and leave, so each round handles only what still repeats. Any depth between two
-powers of two comes from two overlapping classes. Classes are named by 64-bit hashes in place of ranks: an interval is
-known by its name, and no round has to sort all suffixes.
-
-Repeated runs of at least `min_lines` lines, and repeated single lines of at least `min_words` words, count; longer maximal
-runs are unions of overlapping ones. In each interval the suffix that is first by doc_id and place is the original; lines
-in the reach of the others are deleted.
+A line's ID is the rank of its 128-bit hash among the lines found twice or more. Intervals of the suffix array whose suffixes have
+`min_lines` lines or more in common are maximal repeated runs; in each the suffix that is first by doc_id and place is the
+original, and the lines that the others have in common with it are deleted. Single lines of `min_words` words or more that
+repeat count too: they are the intervals of the first round, before any doubling.
 
 Native: DataFrame functions only. Defined cases: a null text has no lines and stays null; an empty text has one empty
 line; rows repeated as a whole are one document; a null doc_id comes last; copies that overlap their original are copies
@@ -22,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, staged, table
+from . import suffix_array
+from .common import WORD, in_order, staged, table
 
 MIN_LINES = 3
 MIN_WORDS = 10
@@ -36,37 +31,20 @@ def _key(doc: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(doc, text)
 
 
-def _repeating(suffixes: DataFrame) -> DataFrame:
-    """suffixes (.., cls) that share their class with others, with the class's first place as `first`."""
-    place = F.struct(F.col("doc").isNull().alias("last"), F.col("doc").alias("doc"), F.col("key").alias("key"), F.col("pos").alias("pos"))
-    classes = suffixes.groupBy("cls").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("first")).where("_n > 1").drop("_n")
-    classes = staged(classes, "classes")  # a table of its own: a join of two plain shuffles can split a class with very many suffixes
-    return suffixes.drop("first").join(classes, "cls")
-
-
-def _ahead(column: str, by: int) -> Column:
-    """The column of the suffix that starts so many lines further on in the same document; null if it isn't among the rows."""
-    return F.first(column).over(Window.partitionBy("key", "doc").orderBy("pos").rangeBetween(by, by))
-
-
 def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, key, begin, end): stretches of lines that are later copies, whole runs, one row per stretch."""
-    cells = F.transform(_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("cls"), (F.regexp_count(x, F.lit(WORD)) >= min_words).alias("long")))
-    all_lines = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("doc"), _key().alias("key"), F.posexplode(cells).alias("pos", "cell"))
-    one = staged(_repeating(all_lines.select("doc", "key", "pos", "cell.cls", "cell.long")), "lines")
-
-    def copies(suffixes: DataFrame, depth: int) -> DataFrame:
-        original = F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.key") == F.col("key")) & (F.col("first.pos") == F.col("pos"))
-        return suffixes.where(~original).select("doc", "key", "pos", (F.col("pos") + depth).alias("end"))
-
-    found = copies(one if min_lines <= 1 else one.where("long"), 1)
-    now, depth = one, 1
-    while depth < min_lines:
-        step = min(depth, min_lines - depth)  # the last step overlaps
-        pair = now.withColumn("_next", _ahead("cls", step)).where("_next IS NOT NULL").withColumn("cls", F.xxhash64("cls", "_next")).drop("_next")
-        now, depth = staged(_repeating(pair), "runs"), depth + step
-        if depth == min_lines:
-            found = found.unionAll(copies(now, depth))
+    cell = lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), (F.regexp_count(x, F.lit(WORD)) >= min_words).alias("long"))
+    cells = F.transform(_lines(F.col("text")), cell)
+    known = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("doc"), _key().alias("key"), cells.alias("cells"))
+    lines = known.select("doc", "key", F.size("cells").alias("size"), F.posexplode("cells").alias("pos", "cell"))
+    lines = lines.select("doc", "key", "pos", (F.col("size") - F.col("pos")).alias("left"), "cell.*")
+    found_twice = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(suffix_array.place()).alias("first")).where("n > 1")
+    ids = staged(in_order(found_twice, ["a", "b"], {"rank": "n"}).drop("n"), "ids")  # a table of its own: its join can split a line found very often
+    one = staged(lines.join(ids, ["a", "b"]).select("doc", "key", "pos", "left", "rank", "long", "first"), "lines")
+    runs = suffix_array.repeats(one, min_lines)
+    found = runs.where(~suffix_array.is_first()).select("doc", "key", "pos", (F.col("pos") + F.col("depth")).alias("end"))
+    if min_lines > 1:
+        found = found.unionByName(one.where(F.col("long") & ~suffix_array.is_first()).select("doc", "key", "pos", (F.col("pos") + 1).alias("end")))
     order = Window.partitionBy("key", "doc").orderBy("pos", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.sum(F.when(F.col("pos") <= F.col("_reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
