@@ -41,10 +41,11 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = M
     found_twice = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(suffix_array.place()).alias("first")).where("n > 1")
     ids = staged(in_order(found_twice, ["a", "b"], {"rank": "n"}).drop("n"), "ids")  # a table of its own: its join can split a line found very often
     one = staged(lines.join(ids, ["a", "b"]).select("doc", "key", "pos", "left", "rank", "long", "first"), "lines")
-    runs = suffix_array.repeats(one, min_lines)
-    found = runs.where(~suffix_array.is_first()).select("doc", "key", "pos", (F.col("pos") + F.col("depth")).alias("end"))
+    found = one.where(~suffix_array.is_first())  # intervals of one line or more are the classes before any doubling
+    found = (found if min_lines <= 1 else found.where("long")).select("doc", "key", "pos", (F.col("pos") + 1).alias("end"))
     if min_lines > 1:
-        found = found.unionByName(one.where(F.col("long") & ~suffix_array.is_first()).select("doc", "key", "pos", (F.col("pos") + 1).alias("end")))
+        runs = suffix_array.repeats(one, min_lines)
+        found = found.unionByName(runs.where(~suffix_array.is_first()).select("doc", "key", "pos", (F.col("pos") + F.col("depth")).alias("end")))
     order = Window.partitionBy("key", "doc").orderBy("pos", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.sum(F.when(F.col("pos") <= F.col("_reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
