@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import suffix_array
-from .common import WORD, in_order, staged, table
+from .common import SPACE, WORD, in_order, staged, table
 
 MIN_LINES = 3
 MIN_WORDS = 10
@@ -31,18 +31,23 @@ def _key(doc: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(doc, text)
 
 
+def has_words(line: str, least: int) -> Column:
+    """Whether the line has at least so many words; reads it no further than that, and no character twice."""
+    return F.col(line).rlike(rf"\A{SPACE[:-1]}*+(?:{WORD}+{SPACE}+){{{least - 1}}}{WORD[:-1]}") if least > 0 else F.lit(True)
+
+
 def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, key, begin, end): stretches of lines that are later copies, whole runs, one row per stretch."""
-    cell = lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), (F.regexp_count(x, F.lit(WORD)) >= min_words).alias("long"))
-    cells = F.transform(_lines(F.col("text")), cell)
-    known = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("doc"), _key().alias("key"), cells.alias("cells"))
-    lines = known.select("doc", "key", F.size("cells").alias("size"), F.posexplode("cells").alias("pos", "cell"))
-    lines = lines.select("doc", "key", "pos", (F.col("size") - F.col("pos")).alias("left"), "cell.*")
-    found_twice = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(suffix_array.place()).alias("first")).where("n > 1")
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("doc"), _key().alias("key"), _lines(F.col("text")).alias("lines"))
+    lines = texts.select("doc", "key", F.size("lines").alias("size"), F.posexplode("lines").alias("pos", "line"))
+    ab = [F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")]
+    lines = lines.select("doc", "key", "pos", (F.col("size") - F.col("pos")).alias("left"), *ab, has_words("line", min_words).alias("long"))
+    found_twice = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     ids = staged(in_order(found_twice, ["a", "b"], {"rank": "n"}).drop("n"), "ids")  # a table of its own: its join can split a line found very often
-    one = staged(lines.join(ids, ["a", "b"]).select("doc", "key", "pos", "left", "rank", "long", "first"), "lines")
-    found = one.where(~suffix_array.is_first())  # intervals of one line or more are the classes before any doubling
-    found = (found if min_lines <= 1 else found.where("long")).select("doc", "key", "pos", (F.col("pos") + 1).alias("end"))
+    one = staged(lines.join(ids, ["a", "b"]).select("doc", "key", "pos", "left", "rank", "long"), "lines")
+    single = one if min_lines <= 1 else one.where("long")  # intervals of one line or more are the classes before any doubling
+    first = staged(single.groupBy("rank").agg(F.min(suffix_array.place()).alias("first")), "first")
+    found = single.join(first, "rank").where(~suffix_array.is_first()).select("doc", "key", "pos", (F.col("pos") + 1).alias("end"))
     if min_lines > 1:
         runs = suffix_array.repeats(one, min_lines)
         found = found.unionByName(runs.where(~suffix_array.is_first()).select("doc", "key", "pos", (F.col("pos") + F.col("depth")).alias("end")))
