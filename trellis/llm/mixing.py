@@ -111,11 +111,12 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     Where a source's demand ends within a document, the copy has the words up to there, joined by spaces. Rows repeated as
     a whole are one row that is taken for all of them.
     """
-    chosen = mix(docs, **settings).where(F.size("laps") > 0).groupBy("doc_id", "_key").agg(F.flatten(F.collect_list("laps")).alias("__mix_laps"), F.first("size").alias("__mix_size"))
-    chosen = chosen.withColumnsRenamed({"doc_id": "__mix_doc", "_key": "__mix_chosen"})
-    d = docs.withColumn("__mix_key", F.xxhash64("doc_id", "text"))
-    d = d.join(chosen, (d["__mix_key"] == chosen["__mix_chosen"]) & d.doc_id.eqNullSafe(chosen["__mix_doc"]))
-    d = d.withColumn("__mix_n", F.row_number().over(Window.partitionBy("__mix_key", "__mix_doc").orderBy("__mix_size"))).where("__mix_n = 1")
+    same = ["__mix_key", "__mix_id", "__mix_no"]  # plain keys, so that the join's exchange, the only one of texts before the sort, serves the window too
+    known = lambda d, key: d.withColumns({"__mix_key": key, "__mix_id": F.coalesce(d.doc_id.cast("string"), F.lit("")), "__mix_no": d.doc_id.isNull()})
+    chosen = known(mix(docs, **settings).where(F.size("laps") > 0), F.col("_key"))
+    chosen = chosen.groupBy(*same).agg(F.flatten(F.collect_list("laps")).alias("__mix_laps"), F.first("size").alias("__mix_size"))
+    d = known(docs, F.xxhash64("doc_id", "text")).join(chosen, same)
+    d = d.withColumn("__mix_n", F.row_number().over(Window.partitionBy(*same).orderBy("__mix_size"))).where("__mix_n = 1")
     d = d.withColumn("__mix_lap", F.explode("__mix_laps"))
     text = F.when(F.col("__mix_lap.words") >= F.col("__mix_size"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), F.col("__mix_lap.words").cast("int")), " "))
     d = d.withColumn("text", text).orderBy("__mix_lap.position", "__mix_key")
