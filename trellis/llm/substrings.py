@@ -34,7 +34,7 @@ from .common import staged, table, text_of
 WINDOW = 35
 GRAM = 8
 #: Bytes of text for each bucket; bytes that are hashed at once; leaves held before a batch is given out.
-BUCKET_BYTES, SLICE_BYTES, HOLD = 20_000_000, 2_000_000, 2_000_000
+BUCKET_BYTES, SLICE_BYTES, HOLD = 20_000_000, 250_000, 2_000_000
 
 U = np.uint64
 _BYTE = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
