@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table, text_of
+from .common import dropped, staged, table, text_of
 
 WINDOW = 35
 GRAM = 8
@@ -300,6 +300,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     again = _spans(_kept(first, _repeated(first, "keys"), False))
     left = docs.join(again, docs._row == again.row).select("_row", "_text", "spans")
     second = staged(_suffixes(left, buckets, window, gram), "suffixes")
+    dropped(first)
     return _spans(_kept(second, _repeated(second, "paths"), True))
 
 
